@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["url_rules", "chat", "pii"]
+MODULES = ["url_rules", "chat", "pii", "toxicity"]
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _name in MODULES:
