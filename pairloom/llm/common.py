@@ -60,3 +60,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % n
+
+
+def by_key(batches, keys: list[str]):
+    """(key, table) for each run of equal keys, from batches sorted by them. Holds one group and one batch."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    held, now = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        differs = None
+        for k in keys:
+            col = pc.fill_null(t[k].combine_chunks(), -1)
+            d = pc.not_equal(col[1:], col[:-1])
+            differs = d if differs is None else pc.or_(differs, d)
+        cuts = [0, *[int(i) + 1 for i in pc.indices_nonzero(differs).to_pylist()], t.num_rows] if t.num_rows > 1 else [0, t.num_rows]
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            part = t.slice(a, z - a)
+            key = tuple(part[k][0].as_py() for k in keys)
+            if held and key != now:
+                yield now, pa.concat_tables(held)
+                held = []
+            now = key
+            held.append(part)
+    if held:
+        yield now, pa.concat_tables(held)
+
+
+def components(store: Store, edges: DataFrame) -> DataFrame:
+    """node, component (the smallest node reachable) of every node of edges (a, b: long).
+
+    Alternating large-star and small-star joins; every round is written to the shared folder. Ends
+    when a round changes nothing, after about the logarithm of the longest path.
+    """
+    now = store.write(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    last = None
+    while True:
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        large = store.write(large.unionByName(least.filter("a <> m").select("a", F.col("m").alias("b"))).distinct())
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        new = store.write(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        mark = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        store.drop(large, now)
+        now = new
+        if mark == last or not mark[0]:
+            break
+        last = mark
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
