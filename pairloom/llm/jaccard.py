@@ -37,6 +37,8 @@ from . import kernel
 from .common import Store, components, table
 
 RATIO = 1.3
+#: So many nodes (24 bytes each) are broadcast to the texts at most; more are joined by shuffling both sides.
+SENT = 1 << 20
 _U = np.uint64
 
 
@@ -180,7 +182,8 @@ def link(docs: DataFrame, words: int, percent: int, store: Store) -> DataFrame:
     first = store.write(hubs.groupBy("node").agg(F.max(F.struct("c", "least")).alias("best")).select(F.col("node").alias("a"), F.col("best.least").alias("b")))
     wanted = met.select("node").distinct().join(rows.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("one")), "node")
     wanted = store.write(wanted.select("node", F.col("one.doc_id").alias("id"), "one.th"))
-    texts = hashed.join(wanted, hashed["doc_id"].eqNullSafe(wanted["id"]) & (hashed["th"] == wanted["th"])).select("node", "text")
+    few = F.broadcast(wanted) if wanted.count() <= SENT else wanted
+    texts = hashed.join(few, hashed["doc_id"].eqNullSafe(wanted["id"]) & (hashed["th"] == wanted["th"])).select("node", "text")
     sets = store.write(texts.mapInArrow(_keeper(words), "node long, n long, held array<long>, k0 long, k1 long, k2 long, k3 long"))
     store.release()
 
@@ -199,7 +202,9 @@ def link(docs: DataFrame, words: int, percent: int, store: Store) -> DataFrame:
     rest = one.join(two, "sig").filter(may).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = store.write(rest.join(done, ["a", "b"], "left_anti"))
-    more = store.write(_verify(rest, sets, percent))
+    ends = store.write(rest.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    few = F.broadcast(ends) if ends.count() <= SENT else ends
+    more = store.write(_verify(rest, store.write(sets.join(few, "node", "left_semi")), percent))
     if not more.isEmpty():
         joined = components(store, joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     store.drop(met, apart, sets)
