@@ -1 +1 @@
-"""Part of pairloom."""
+"""The queries and the SQL they must agree with."""
