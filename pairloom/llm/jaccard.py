@@ -13,7 +13,8 @@ Only components are wanted, so pairs are not listed:
 1. equal sets are one node from the start;
 2. every node is compared with one node only, the least one that it shares most signatures with;
 3. within a signature, only nodes whose components are still apart are compared (all of them,
-   after bounds on size and on a 256-bit parity sketch, which never exceeds the distance).
+   after bounds on size and on parity sketches of 256 and WIDE bits, which never differ in more
+   bits than the sets' distance).
 Every comparison is exact over whole sets.
 
 A document without words or text has an empty set: 0 shingles, linked with nothing, a component of
@@ -37,6 +38,8 @@ from . import kernel
 from .common import Store, components, table
 
 RATIO = 1.3
+#: Bits of the wide parity sketch.
+WIDE = 2048
 #: So many nodes (24 bytes each) are broadcast to the texts at most; more are joined by shuffling both sides.
 SENT = 1 << 20
 _U = np.uint64
@@ -143,7 +146,7 @@ def _keeper(words: int):
     def each(batches):
         seen: set[int] = set()  # repeated rows of one document meet here
         for b in batches:
-            nodes, sets, sketches = [], [], []
+            nodes, sets, sketches, wide = [], [], [], []
             for want, s in zip(b.column("node").to_pylist(), _sets(b.column("text"), words), strict=True):
                 if want not in seen:
                     seen.add(want)
@@ -151,10 +154,12 @@ def _keeper(words: int):
                     sets.append(s.view(np.int64))
                     odd = np.bincount((s & _U(255)).astype(np.int64), minlength=256) & 1
                     sketches.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                    odd = np.bincount(((s >> _U(8)) & _U(WIDE - 1)).astype(np.int64), minlength=WIDE) & 1
+                    wide.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
             held = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
             marks = np.array(sketches, np.int64).reshape(-1, 4)
-            yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(np.diff(ends).astype(np.int64)), held, *[pa.array(marks[:, i]) for i in range(4)]], names=["node", "n", "held", "k0", "k1", "k2", "k3"])
+            yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(np.diff(ends).astype(np.int64)), held, *[pa.array(marks[:, i]) for i in range(4)], pa.array([w.tolist() for w in wide], pa.list_(pa.int64()))], names=["node", "n", "held", "k0", "k1", "k2", "k3", "wide"])
 
     return each
 
@@ -167,6 +172,22 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").withColumn("same", same).filter(F.col("same") * 100 >= (F.col("na") + F.col("nb") - F.col("same")) * percent).select("a", "b")
 
 
+def _sift(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose wide parity sketches don't exclude similarity; far smaller than the sets."""
+    one = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa"))
+    two = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb"))
+    differ = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return pairs.join(one, "a").join(two, "b").filter(differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
+
+
+def _compare(store: Store, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The similar pairs: sketches first, then whole sets, of the nodes that are left only."""
+    pairs = store.write(_sift(pairs, sets, percent))
+    ends = store.write(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    few = F.broadcast(ends) if ends.count() <= SENT else ends
+    return _verify(pairs, store.write(sets.select("node", "n", "held").join(few, "node", "left_semi")), percent)
+
+
 def link(docs: DataFrame, words: int, percent: int, store: Store) -> DataFrame:
     """doc_id, th (hash of the text), n_shingles, node, component_id, for every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -184,14 +205,14 @@ def link(docs: DataFrame, words: int, percent: int, store: Store) -> DataFrame:
     wanted = store.write(wanted.select("node", F.col("one.doc_id").alias("id"), "one.th"))
     few = F.broadcast(wanted) if wanted.count() <= SENT else wanted
     texts = hashed.join(few, hashed["doc_id"].eqNullSafe(wanted["id"]) & (hashed["th"] == wanted["th"])).select("node", "text")
-    sets = store.write(texts.mapInArrow(_keeper(words), "node long, n long, held array<long>, k0 long, k1 long, k2 long, k3 long"))
+    sets = store.write(texts.mapInArrow(_keeper(words), "node long, n long, held array<long>, k0 long, k1 long, k2 long, k3 long, wide array<long>"))
     store.release()
 
-    links = store.write(_verify(first, sets, percent))
+    links = store.write(_compare(store, first, sets, percent))
     joined = components(store, links)
     apart = met.join(joined, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
     apart = apart.withColumn("least", F.min("component").over(by)).withColumn("most", F.max("component").over(by)).filter("least <> most")
-    apart = apart.select("sig", "node", "component").distinct().join(sets.drop("held"), "node")
+    apart = apart.select("sig", "node", "component").distinct().join(sets.drop("held", "wide"), "node")
     apart = store.write(apart)
     names = [c for c in apart.columns if c != "sig"]
     one, two = (apart.select("sig", *[F.col(c).alias(f"{c}_{x}") for c in names]) for x in "ab")
@@ -202,9 +223,7 @@ def link(docs: DataFrame, words: int, percent: int, store: Store) -> DataFrame:
     rest = one.join(two, "sig").filter(may).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = store.write(rest.join(done, ["a", "b"], "left_anti"))
-    ends = store.write(rest.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    few = F.broadcast(ends) if ends.count() <= SENT else ends
-    more = store.write(_verify(rest, store.write(sets.join(few, "node", "left_semi")), percent))
+    more = store.write(_compare(store, rest, sets, percent))
     if not more.isEmpty():
         joined = components(store, joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     store.drop(met, apart, sets)
