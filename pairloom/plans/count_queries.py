@@ -120,10 +120,10 @@ def p18(s, d):
     return S.upper_median_by(V.counts(s, d), ["feature"], "count", "median")
 
 
-@query("p19_unit_rows", "WITH f AS (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS v, generate_subscripts(embedding, 1) AS k FROM embeddings) SELECT vec_id, k - 1 AS "at", round(v / sqrt(sum(v * v) OVER (PARTITION BY vec_id)), 6) AS v FROM f")
+@query("p19_unit_rows", "WITH f AS (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS v, generate_subscripts(embedding, 1) AS k FROM embeddings) SELECT vec_id, k - 1 AS place, round(v / sqrt(sum(v * v) OVER (PARTITION BY vec_id)), 6) AS v FROM f")
 def p19(s, d):
     e = V.table(s, d, "embeddings").select("vec_id", E.unit_row(F.transform("embedding", lambda v: v.cast("double"))).alias("u"))
-    return e.select("vec_id", F.posexplode("u").alias("at", "v")).select("vec_id", F.col("at").cast("long").alias("at"), F.round("v", 6).alias("v"))
+    return e.select("vec_id", F.posexplode("u").alias("place", "v")).select("vec_id", F.col("place").cast("long").alias("place"), F.round("v", 6).alias("v"))
 
 
 @query("p20_z_scores", sql(CELLS, COUNTS, "l AS (SELECT section, feature, sum(count) AS level FROM counts JOIN cells USING (cell) GROUP BY 1, 2)", "SELECT section, feature, round(greatest(-2.5, least(2.5, (level - avg(level) OVER (PARTITION BY feature)) / stddev_samp(level) OVER (PARTITION BY feature))), 6) AS z FROM l"))

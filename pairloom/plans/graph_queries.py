@@ -154,7 +154,7 @@ def m9(s, d):
 
 @query("m13_k_core")
 def m13(s, d):
-    return G.k_core(V.contacts(s, d), 5)
+    return G.k_core(G.undirected(G.radius(V.cells(s, d), 800.0, 8)), 4)
 
 
 @query("m14_shared_neighbours", sql(CELLS, CONTACTS, BOTH, "SELECT p.src AS a, q.src AS b, count(*) AS shared FROM ends p JOIN ends q ON p.dst = q.dst WHERE p.src < q.src GROUP BY 1, 2 HAVING count(*) >= 3"))
