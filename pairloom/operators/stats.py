@@ -53,7 +53,7 @@ def by_adjust(df: DataFrame, by: list[str], p: str, out: str) -> DataFrame:
     """Benjamini-Yekutieli: BH times the harmonic number of the family's tests."""
     n = F.count(F.when(~F.isnan(p), 1)).over(W.partitionBy(*by))
     harmonic = F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("_n"), F.lit(1)).cast("int")), F.lit(0.0), lambda a, i: a + 1.0 / i)
-    return bh(df.withColumn("_n", n), by, p, out).withColumn(out, F.least(F.col(out) * harmonic, F.lit(1.0))).drop("_n")
+    return bh(df.withColumn("_n", n), by, p, out).withColumn(out, F.when(F.isnan(out), F.col(out)).otherwise(F.least(F.col(out) * harmonic, F.lit(1.0)))).drop("_n")
 
 
 def clustered(df: DataFrame, by: list[str], cluster: str, value: str) -> DataFrame:
