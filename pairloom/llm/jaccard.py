@@ -189,7 +189,7 @@ def _compare(store: Store, pairs: DataFrame, sets: DataFrame, percent: int) -> D
 
 
 def link(docs: DataFrame, words: int, percent: int, store: Store) -> DataFrame:
-    """doc_id, th (hash of the text), n_shingles, node, component_id, for every row of docs (doc_id, text)."""
+    """doc_id, th (hash of the text), n_shingles, node, component (its least node), component_id, for every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     hashed = docs.withColumn("th", F.xxhash64("text"))
     rows = store.write(hashed.mapInArrow(_rows(words), "doc_id long, th long, n_shingles long, node long"))
@@ -230,9 +230,9 @@ def link(docs: DataFrame, words: int, percent: int, store: Store) -> DataFrame:
     ends = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least")).join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ends = store.write(ends)
     least = ends.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = ends.join(least, "component").select("node", "component_id")
+    named = ends.join(least, "component").select("node", "component", "component_id")
     out = rows.join(named, "node", "left")
-    return out.select("doc_id", "th", "n_shingles", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "th", "n_shingles", "node", "component", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -246,7 +246,7 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     plain = plain.withColumn("id", F.col(f"c{names.index('doc_id')}").cast("long")).withColumn("th", F.xxhash64(F.col(f"c{names.index('text')}").cast("string")))
     found = store.write(link(docs, words, percent, store))
     own = found.filter("node IS NOT NULL")
-    keep = own.groupBy("component_id").agg(F.min(F.struct("doc_id", "th")).alias("one")).select(F.col("one.doc_id").alias("id"), "one.th", F.lit(True).alias("single"))
+    keep = own.groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("one")).select(F.col("one.doc_id").alias("id"), "one.th", F.lit(True).alias("single"))
     keep = keep.unionByName(found.filter("node IS NULL").select(F.col("doc_id").alias("id"), "th", F.lit(False).alias("single")).distinct())
     keep = store.write(keep.groupBy("id", "th").agg(F.max("single").alias("single")))
     out = plain.join(keep.withColumnRenamed("id", "kept_id").withColumnRenamed("th", "kept_th"), F.col("id").eqNullSafe(F.col("kept_id")) & F.col("th").eqNullSafe(F.col("kept_th")))
