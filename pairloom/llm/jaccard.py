@@ -12,7 +12,10 @@ always share a signature.
 Only components are wanted, so pairs are not listed:
 1. equal sets are one node from the start;
 2. every node is compared with one node only, the least one that it shares most signatures with;
-3. within a signature, only nodes whose components are still apart are compared (all of them,
+3. for some rounds, every node whose component is not its signatures' least one is compared with
+   one node of that, the one it shares most signatures with; components that are similar grow
+   together, with as many comparisons as nodes in a round;
+4. within a signature, only nodes whose components are still apart are compared (all of them,
    after bounds on size and on parity sketches of 256 and WIDE bits, which never differ in more
    bits than the sets' distance).
 Every comparison is exact over whole sets.
@@ -38,6 +41,8 @@ from . import kernel
 from .common import Store, components, table
 
 RATIO = 1.3
+#: Rounds of comparing nodes with one node of another component, at most, before all that are apart are compared.
+ROUNDS = 3
 #: Bits of the wide parity sketch.
 WIDE = 2048
 #: So many nodes (24 bytes each) are broadcast to the texts at most; more are joined by shuffling both sides.
@@ -188,6 +193,14 @@ def _compare(store: Store, pairs: DataFrame, sets: DataFrame, percent: int) -> D
     return _verify(pairs, store.write(sets.select("node", "n", "held").join(few, "node", "left_semi")), percent)
 
 
+def _apart(met: DataFrame, joined: DataFrame) -> DataFrame:
+    """sig, node, component of the signatures whose nodes are not all in one component yet."""
+    by = W.partitionBy("sig")
+    out = met.select("sig", "node").join(joined, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
+    out = out.withColumn("least", F.min("component").over(by)).withColumn("most", F.max("component").over(by)).filter("least <> most")
+    return out.select("sig", "node", "component").distinct()
+
+
 def link(docs: DataFrame, words: int, percent: int, store: Store) -> DataFrame:
     """doc_id, th (hash of the text), n_shingles, node, component (its least node), component_id, for every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -210,10 +223,21 @@ def link(docs: DataFrame, words: int, percent: int, store: Store) -> DataFrame:
 
     links = store.write(_compare(store, first, sets, percent))
     joined = components(store, links)
-    apart = met.join(joined, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
-    apart = apart.withColumn("least", F.min("component").over(by)).withColumn("most", F.max("component").over(by)).filter("least <> most")
-    apart = apart.select("sig", "node", "component").distinct().join(sets.drop("held", "wide"), "node")
-    apart = store.write(apart)
+    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for _ in range(ROUNDS):
+        apart = store.write(_apart(met, joined))
+        store.drop(met)
+        met = apart
+        near = met.withColumn("hub", F.min(F.struct("component", "node")).over(by)).filter(F.col("component") != F.col("hub.component")).select(F.col("node").alias("x"), F.col("hub.node").alias("hub"))
+        near = near.groupBy("x", "hub").agg(F.count(F.lit(1)).alias("c")).withColumn("a", F.least("x", "hub")).withColumn("b", F.greatest("x", "hub")).join(tried, ["a", "b"], "left_anti")
+        best = near.groupBy("x").agg(F.max(F.struct("c", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
+        best = store.write(best)
+        got = store.write(_compare(store, best, sets, percent))
+        tried = store.write(tried.unionByName(best))
+        if got.isEmpty():
+            break
+        joined = components(store, joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(got))
+    apart = store.write(_apart(met, joined).join(sets.drop("held", "wide"), "node"))
     names = [c for c in apart.columns if c != "sig"]
     one, two = (apart.select("sig", *[F.col(c).alias(f"{c}_{x}") for c in names]) for x in "ab")
     differ = sum((F.bit_count(F.col(f"k{i}_a").bitwiseXOR(F.col(f"k{i}_b"))) for i in range(4)), F.lit(0))
@@ -221,8 +245,7 @@ def link(docs: DataFrame, words: int, percent: int, store: Store) -> DataFrame:
     may &= (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
     may &= differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
     rest = one.join(two, "sig").filter(may).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = store.write(rest.join(done, ["a", "b"], "left_anti"))
+    rest = store.write(rest.join(tried, ["a", "b"], "left_anti"))
     more = store.write(_compare(store, rest, sets, percent))
     if not more.isEmpty():
         joined = components(store, joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
