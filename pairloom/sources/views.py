@@ -47,10 +47,11 @@ def pairs(spark: SparkSession) -> DataFrame:
 
 def communities(spark: SparkSession, sf_dir: str, n: int = 4, k: int = 5) -> DataFrame:
     """a, b, distance, section, community: the contact's most counted brand, by number modulo n."""
-    met = graph.pool_endpoints(contacts(spark, sf_dir, k), counts(spark, sf_dir))
-    best = met.groupBy("a", "b").agg(F.max(F.struct("count", "feature")).alias("best"))
+    ends = graph.endpoints(contacts(spark, sf_dir, k), "distance", "section").join(counts(spark, sf_dir), "cell")
+    pooled = ends.groupBy("a", "b", "distance", "section", "feature").agg(F.sum("count").alias("count"))
+    best = pooled.groupBy("a", "b", "distance", "section").agg(F.max(F.struct("count", "feature")).alias("best"))
     number = F.regexp_extract("best.feature", r"(\d+)", 1).cast("int")
-    return contacts(spark, sf_dir, k).join(best, ["a", "b"]).select("a", "b", "distance", "section", F.pmod(number, F.lit(n)).alias("community"))
+    return best.select("a", "b", "distance", "section", F.pmod(number, F.lit(n)).alias("community"))
 
 
 CELLS = """cells AS (SELECT c_custkey AS cell, c_acctbal AS x, CAST(coalesce(s, 0) AS DOUBLE) / 1000 AS y, c_nationkey AS section, n_regionkey AS donor, c_mktsegment AS kind
