@@ -109,12 +109,15 @@ class Index:
         diagonal = (hit - at[doc])[rows] - self.place[entry]
         band = diagonal // (self.k[item] + 1)
         # band b holds diagonals from b (k + 1) to (b + 2) (k + 1): each q-gram is in two
-        key = (doc[rows].astype(_U) << _U(44)) | (item.astype(_U) << _U(24))
-        shifted = (band + (1 << 20)).astype(_U)
+        # a run of several texts is short: 24 bits hold its bands; a text alone in its run takes 44
+        bits, zero = (24, 1 << 20) if len(at) > 2 else (44, 1 << 40)
+        key = (doc[rows].astype(_U) << _U(44)) | (item.astype(_U) << _U(bits)) if len(at) > 2 else item.astype(_U) << _U(bits)
+        shifted = (band + zero).astype(_U)
         keys, counts = np.unique(np.concatenate((key | shifted, key | (shifted - _U(1)))), return_counts=True)
-        item = ((keys >> _U(24)) & _U((1 << 20) - 1)).astype(np.int64)
+        item = ((keys >> _U(bits)) & _U((1 << 20) - 1)).astype(np.int64)
         good = counts >= self.need[item]
-        return list(zip((keys[good] >> _U(44)).tolist(), item[good].tolist(), ((keys[good] & _U((1 << 24) - 1)).astype(np.int64) - (1 << 20)).tolist(), strict=True))
+        texts = (keys[good] >> _U(44)).tolist() if len(at) > 2 else [0] * int(good.sum())
+        return list(zip(texts, item[good].tolist(), ((keys[good] & _U((1 << bits) - 1)).astype(np.int64) - zero).tolist(), strict=True))
 
     def matches(self, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
         """(text, item, edits, start, end): each item's best occurrence in each text, in code points."""

@@ -252,3 +252,11 @@ def test_words_of_a_long_text_are_scored_whole():
     model = toxicity.Marked(np.array([5], np.uint64), np.array([1.0]))
     got, n = model.sums(pa.array(["a " * 700_000, None]))
     assert got.tolist() == [0, 0] and n.tolist() == [700_000, 0]
+
+
+def test_items_at_the_end_of_a_long_text():
+    item = b"the quick brown fox jumps over the lazy dog and then some more"
+    index = decontam.Index([3], [item])
+    long = "x y z " * 400_000 + item.decode()
+    got = index.matches(pa.array([long, "none", item.decode().upper() + "!"]))
+    assert [(t, e, a) for t, _, e, a, _ in got] == [(0, 0, 2_400_000), (2, 0, 0)]
