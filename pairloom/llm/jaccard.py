@@ -13,8 +13,8 @@ Only components are wanted, so pairs are not listed:
 1. equal sets are one node from the start;
 2. every node is compared with one node only, the least one that it shares most signatures with;
 3. for some rounds, every node whose component is not its signatures' least one is compared with
-   one node of that, the one it shares most signatures with; components that are similar grow
-   together, with as many comparisons as nodes in a round;
+   one node of that: of those it shares signatures with, in the order of how many; components that
+   are similar grow together, with as many comparisons as nodes in a round;
 4. within a signature, only nodes whose components are still apart are compared (all of them,
    after bounds on size and on parity sketches of 256 and WIDE bits, which never differ in more
    bits than the sets' distance).
@@ -224,14 +224,16 @@ def link(docs: DataFrame, words: int, percent: int, store: Store) -> DataFrame:
     links = store.write(_compare(store, first, sets, percent))
     joined = components(store, links)
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
         apart = store.write(_apart(met, joined))
         store.drop(met)
         met = apart
-        near = met.withColumn("hub", F.min(F.struct("component", "node")).over(by)).filter(F.col("component") != F.col("hub.component")).select(F.col("node").alias("x"), F.col("hub.node").alias("hub"))
-        near = near.groupBy("x", "hub").agg(F.count(F.lit(1)).alias("c")).withColumn("a", F.least("x", "hub")).withColumn("b", F.greatest("x", "hub")).join(tried, ["a", "b"], "left_anti")
-        best = near.groupBy("x").agg(F.max(F.struct("c", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
-        best = store.write(best)
+        near = met.withColumn("hub", F.min(F.struct("component", "node")).over(by)).filter(F.col("component") != F.col("hub.component"))
+        near = near.groupBy("node", F.col("hub.node").alias("hub")).agg(F.count(F.lit(1)).alias("c"))
+        own = W.partitionBy("node")
+        near = near.withColumn("r", F.row_number().over(own.orderBy(F.desc("c"), "hub"))).withColumn("n", F.count(F.lit(1)).over(own))
+        best = near.filter(F.col("r") == F.least(F.lit(turn + 2), F.col("n")))  # the first was tried before
+        best = store.write(best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
         got = store.write(_compare(store, best, sets, percent))
         tried = store.write(tried.unionByName(best))
         if got.isEmpty():
