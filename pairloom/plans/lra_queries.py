@@ -186,7 +186,7 @@ def w1(s, d):
     return S.bh(tests(s, d), ["fam"], "p", "q").select("id", F.round("q", 9).alias("q"))
 
 
-@query("w2_simes", sql(TESTS, "s AS (SELECT *, p * count(*) OVER (PARTITION BY fam, ligand) / row_number() OVER (PARTITION BY fam, ligand ORDER BY p) AS s FROM t WHERE NOT isnan(p)), l AS (SELECT fam, ligand, least(1, min(s)) AS p FROM s GROUP BY 1, 2), b AS (SELECT *, p * count(*) OVER (PARTITION BY fam) / row_number() OVER (PARTITION BY fam ORDER BY p) AS s FROM l)", "SELECT fam, ligand, round(p, 9) AS p, round(least(1, min(s) OVER (PARTITION BY fam ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 9) AS q FROM b"))
+@query("w2_simes", sql(TESTS, "s AS (SELECT *, p * count(*) OVER (PARTITION BY fam, ligand) / row_number() OVER (PARTITION BY fam, ligand ORDER BY p) AS s FROM t WHERE NOT isnan(p)), l AS (SELECT fam, ligand, least(1, min(s)) AS p FROM s GROUP BY 1, 2), b AS (SELECT *, p * count(*) OVER (PARTITION BY fam) / row_number() OVER (PARTITION BY fam ORDER BY p) AS s FROM l)", "SELECT fam, ligand, round(p, 9) AS p, round(least(1, min(s) OVER (PARTITION BY fam ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 9) AS q FROM b UNION ALL SELECT fam, ligand, 'NaN'::DOUBLE, 'NaN'::DOUBLE FROM t GROUP BY 1, 2 HAVING count(*) FILTER (NOT isnan(p)) = 0"))
 def w2(s, d):
     l = S.simes(tests(s, d), ["fam", "ligand"], "p", "p")
     return S.bh(l, ["fam"], "p", "q").select("fam", "ligand", F.round("p", 9).alias("p"), F.round("q", 9).alias("q"))
