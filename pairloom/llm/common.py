@@ -53,6 +53,16 @@ class Store:
         self.spark.sparkContext._jvm.System.gc()
 
 
+ROWS = 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of ROWS rows at most from now on in this session: whole texts go to workers, and a batch is held whole."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ROWS:
+        spark.conf.set(key, str(ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

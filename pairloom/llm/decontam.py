@@ -21,10 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import kernel
-from .common import table
+from .common import bounded_batches, table
 
 Q = 8
 EDITS = 10
@@ -161,6 +160,7 @@ def indexes(benchmark: DataFrame) -> list[Index]:
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, edits, start, end: each item's best occurrence in each row of docs that has one."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     schema = "doc_id long, item_id long, edits int, start long, end long"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = spark.createDataFrame([], schema)
@@ -181,11 +181,11 @@ def _finder(sent):
     return each
 
 
-def _cleaner(sent):
+def _cleaner(sent, text: str):
     def each(batches):
         for b in batches:
             keep = np.ones(b.num_rows, bool)
-            keep[[f[0] for f in sent.value.matches(b.column("text"))]] = False
+            keep[[f[0] for f in sent.value.matches(b.column(text).cast(pa.string()))]] = False
             yield b.filter(pa.array(keep))
 
     return each
@@ -195,11 +195,10 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs in which no item is found, with all their columns."""
     names = docs.columns
     out = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    text = f"c{names.index('text')}"
-    out = out.select(*out.columns, F.col(text).cast("string").alias("text"))
+    bounded_batches(docs.sparkSession)
     for index in indexes(benchmark):
-        out = out.mapInArrow(_cleaner(docs.sparkSession.sparkContext.broadcast(index)), T.StructType(out.schema.fields))
-    return out.drop("text").toDF(*names)
+        out = out.mapInArrow(_cleaner(docs.sparkSession.sparkContext.broadcast(index), f"c{names.index('text')}"), out.schema)
+    return out.toDF(*names)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import Store, components, table
+from .common import Store, bounded_batches, components, table
 
 RATIO = 1.3
 #: Rounds of comparing nodes with one node of another component, at most, before all that are apart are compared.
@@ -204,6 +204,7 @@ def _apart(met: DataFrame, joined: DataFrame) -> DataFrame:
 def link(docs: DataFrame, words: int, percent: int, store: Store) -> DataFrame:
     """doc_id, th (hash of the text), n_shingles, node, component (its least node), component_id, for every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    bounded_batches(docs.sparkSession)
     hashed = docs.withColumn("th", F.xxhash64("text"))
     rows = store.write(hashed.mapInArrow(_rows(words), "doc_id long, th long, n_shingles long, node long"))
     signed = docs.select("text").mapInArrow(_signer(words, percent), "sig long, node long")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_batches, table
 
 KINDS = ["email", "ip", "card", "phone", "iban"]
 BASE = 4
@@ -123,6 +123,7 @@ def find(text: str | None) -> list[tuple[int, int, int, float]]:
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id, spans: array<struct<kind, start, end, score>> for every row of docs (doc_id, text)."""
+    bounded_batches(docs.sparkSession)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def each(batches):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import remainder, table
+from .common import bounded_batches, remainder, table
 
 SIZES = (3, 4)
 BITS = 18
@@ -141,6 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out_of: int = 3, held_out: int
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score for every row of docs (doc_id, text)."""
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def each(batches):
