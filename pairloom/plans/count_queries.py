@@ -91,7 +91,7 @@ def p11(s, d):
     return S.mad_outliers(t, ["section"], "total", 2.0).select("cell", "section", "total")
 
 
-@query("p12_symbol", "SELECT p_partkey AS part, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_name END AS symbol FROM part")
+@query("p12_symbol", "SELECT p_partkey AS part, p_name AS symbol FROM part")
 def p12(s, d):
     p = V.table(s, d, "part")
     name = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("ENSG00000"), F.col("p_partkey").cast("string"), F.lit("_"), F.col("p_name"))).otherwise(F.col("p_name"))

@@ -1,10 +1,17 @@
-"""Cutting lineage in iterative operators."""
+"""Cutting lineage in iterative operators, and sending this package to executors."""
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_sent: set[str] = set()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -13,3 +20,23 @@ def cut(df: DataFrame) -> DataFrame:
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pairloom-"))
     return df.checkpoint()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package's source to the Python workers, once an application, so that they need no path to it.
+
+    Not needed where the workers are started on this machine with the driver's path.
+    """
+    sc = spark.sparkContext
+    root = Path(__file__).resolve().parent
+    paths = {Path(p).resolve() for p in ["", *os.environ.get("PYTHONPATH", "").split(os.pathsep)]}
+    if sc.applicationId in _sent or sc.master.startswith("local") and root.parent in paths:
+        return
+    folder = tempfile.mkdtemp(prefix="pairloom-")  # served to executors as long as the driver lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = f"{folder}/pairloom-source.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, f"pairloom/{p.relative_to(root)}")
+    sc.addPyFile(path)
+    _sent.add(sc.applicationId)
