@@ -185,5 +185,14 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
 
+#: All pairs of a label, for small tables.
+SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings),
+c AS (SELECT a.vec_id AS x, b.vec_id AS y, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id),
+l AS (SELECT x, y FROM c WHERE c >= 0.98 AND NOT isnan(c)),
+r AS (SELECT vec_id AS d, vec_id AS c FROM v UNION SELECT r.d, l.y FROM r JOIN l ON r.c = l.x),
+m AS (SELECT d, min(c) AS component_id FROM r GROUP BY 1), k AS (SELECT x, count(*) AS n FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN m ON vec_id = d LEFT JOIN k ON vec_id = x
+"""
 QUERIES = {"op8_embedding_dedup": op8_embedding_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op8_embedding_dedup": SQL}
