@@ -177,7 +177,8 @@ def permutation_test(strata_values: DataFrame, perms: int, seed: int) -> DataFra
     """stratum, pair, stat, z, p_empirical, fwer: covariances over contacts with shared permutations and Westfall-Young minima.
 
     strata_values: stratum, pairs: array of struct(pair, l: array, r: array) - one row per stratum, as
-    the minima need all pairs of a stratum together. Draws depend on (seed, stratum) alone.
+    the minima need all pairs of a stratum together. Draws depend on (seed, stratum) alone. A pair whose
+    null has no spread (a side is constant) has NaN and does not enter the minima.
     """
     schema = "stratum long, pair string, stat double, z double, p_empirical double, fwer double"
 
@@ -192,11 +193,12 @@ def permutation_test(strata_values: DataFrame, perms: int, seed: int) -> DataFra
                 for k in range(perms):
                     null[k] = (l * r[:, rng.permutation(r.shape[1])]).mean(1)
                 sd = null.std(0)
-                p = ((null > obs).sum(0) + 0.5 * (null == obs).sum(0) + 0.5) / (perms + 1)
+                spread = sd > 0
+                p = np.where(spread, ((null > obs).sum(0) + 0.5 * (null == obs).sum(0) + 0.5) / (perms + 1), np.nan)
                 ranks = (null.argsort(0).argsort(0) + 0.5) / perms
-                least = (1 - ranks).min(1)
-                fwer = (1 + (least[:, None] <= p[None, :]).sum(0)) / (perms + 1)
-                z = np.where(sd > 0, (obs - null.mean(0)) / np.where(sd > 0, sd, 1), np.nan)
+                least = (1 - ranks[:, spread]).min(1, initial=1)
+                fwer = np.where(spread, (1 + (least[:, None] <= p[None, :]).sum(0)) / (perms + 1), np.nan)
+                z = np.where(spread, (obs - null.mean(0)) / np.where(spread, sd, 1), np.nan)
                 yield pa.record_batch([pa.array([stratum] * len(pairs)), pa.array([x["pair"] for x in pairs]), pa.array(obs), pa.array(z), pa.array(p), pa.array(fwer)], names=["stratum", "pair", "stat", "z", "p_empirical", "fwer"])
 
     return strata_values.mapInArrow(each, schema)

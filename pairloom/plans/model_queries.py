@@ -217,7 +217,7 @@ def m31(s, d):
 def m41(s, d):
     st = L.strata(V.communities(s, d))
     c = V.counts(s, d)
-    want = V.pairs(s).limit(6)
+    want = V.pairs(s)
     l = c.select(F.col("cell").alias("a"), F.col("feature").alias("ligand"), F.col("count").alias("l"))
     r = c.select(F.col("cell").alias("b"), F.col("feature").alias("receptor"), F.col("count").alias("r"))
     met = st.join(F.broadcast(want)).join(l, ["a", "ligand"], "left").join(r, ["b", "receptor"], "left").na.fill(0.0, ["l", "r"])
