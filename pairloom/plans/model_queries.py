@@ -31,7 +31,7 @@ def _profiles(s, d):
 
 @query("m1_link_communities")
 def m1(s, d):
-    return K.link_communities(_profiles(s, d), 4, 25, gibbs=2, greedy=1, blocks=8, seed=1)
+    return K.link_communities(_profiles(s, d), 4, 25, gibbs=100, greedy=10, blocks=8, seed=1)
 
 
 @query("m2_greedy_sweep")
@@ -223,21 +223,12 @@ def m41(s, d):
     met = st.join(F.broadcast(want)).join(l, ["a", "ligand"], "left").join(r, ["b", "receptor"], "left").na.fill(0.0, ["l", "r"])
     rows = met.groupBy("community", "ligand", "receptor").agg(F.array_sort(F.collect_list(F.struct("a", "b", "l", "r"))).alias("v"))
     packed = rows.groupBy(F.col("community").cast("long").alias("stratum")).agg(F.array_sort(F.collect_list(F.struct(F.concat_ws(":", "ligand", "receptor").alias("pair"), F.transform("v", lambda x: x["l"]).alias("l"), F.transform("v", lambda x: x["r"]).alias("r")))).alias("pairs"))
-    return L.permutation_test(packed, 199, 3)
+    return L.permutation_test(packed, 1000, 3)
 
 
 @query("m43_permuted_moran")
 def m43(s, d):
-    c = V.counts(s, d)
-    l = c.filter("feature = 'Brand#11'").select("cell", F.col("count").alias("x"))
-    base = V.cells(s, d).select("cell", "section").join(l, "cell", "left").na.fill(0.0, ["x"])
-    order = F.row_number().over(W.partitionBy("section", "perm").orderBy("cell"))
-    shuffled = F.row_number().over(W.partitionBy("section", "perm").orderBy(F.md5(F.concat_ws(":", "perm", "cell"))))
-    perms = base.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(19))))
-    own = perms.select("perm", "section", "cell", order.alias("r"))
-    drawn = perms.select("perm", "section", "x", shuffled.alias("r"))
-    values = own.join(drawn, ["perm", "section", "r"]).select("cell", F.concat(F.lit("perm"), F.col("perm").cast("string")).alias("feature"), F.col("x").alias("value")).unionByName(base.select("cell", F.lit("observed").alias("feature"), F.col("x").alias("value")))
-    return L.moran_by_feature(V.contacts(s, d), values, V.table(s, d, "customer").count())
+    return L.permuted_moran(V.contacts(s, d), V.cells(s, d), V.counts(s, d), 2000, 5)
 
 
 @query("m45_simulator")

@@ -150,9 +150,9 @@ def m4(s, d):
     tagged = fine.join(one, "a").join(two, "b").withColumn("ga", F.least("g1", "g2")).withColumn("gb", F.greatest("g1", "g2"))
     flat = tagged.select("ga", "gb", F.explode(F.arrays_zip("cols", "vals")).alias("x")).groupBy("ga", "gb", F.col("x.cols").alias("dim")).agg(F.sum("x.vals").alias("value"))
     coarse = K.profiles(flat.select(F.col("ga").alias("a"), F.col("gb").alias("b"), "dim", "value"))
-    first = K.link_communities(coarse, 4, 25, gibbs=3, greedy=1, blocks=4, seed=3).select(F.col("a").alias("ga"), F.col("b").alias("gb"), "label")
+    first = K.link_communities(coarse, 4, 25, gibbs=100, greedy=10, blocks=4, seed=3).select(F.col("a").alias("ga"), F.col("b").alias("gb"), "label")
     start = tagged.join(first, ["ga", "gb"]).select("a", "b", "label", "cols", "vals")
-    return K.sweep(start, 4, 25, 8).select("a", "b", "label")
+    return K.refine(start, 4, 25, gibbs=20, greedy=10, blocks=8, seed=4)
 
 
 @query("m5_log_incidence")

@@ -267,3 +267,51 @@ def test_permutation_query_tests_every_pair(spark):
     pairs = {f"{r.ligand}:{r.receptor}" for r in views.pairs(spark).collect()}
     strata = {r.stratum for r in got}
     assert strata and {(r.stratum, r.pair) for r in got} == {(k, p) for k in strata for p in pairs}
+
+
+def test_permuted_moran_against_plain_numpy(spark):
+    rng = np.random.default_rng(8)
+    cells = [(i, i % 2) for i in range(24)]
+    edges = [(i, i + 2, i % 2) for i in range(22)]
+    x = {f: {i: float(rng.integers(0, 5)) for i, _ in cells if i % 7} for f in "uv"}
+    x["u"] |= {i: float(i) for i, _ in cells}
+    sparse = [(i, f, v) for f in x for i, v in x[f].items() if v]
+    e, c, v = spark.createDataFrame(edges, "a long, b long, section int"), spark.createDataFrame(cells, "cell long, section int"), spark.createDataFrame(sparse, "cell long, feature string, count double")
+    got = {r.feature: r for r in lra.permuted_moran(e, c, v, 50, 9).collect()}
+    plain = {r.feature: r.moran for r in lra.moran_by_feature(e, v.select("cell", "feature", F.col("count").alias("value")), 24).collect()}
+    assert set(got) == set(plain) == {"u", "v"}
+    own = [[i for i, s in cells if s == k] for k in range(2)]
+    draws = [np.random.default_rng([9, k]) for k in range(2)]
+    orders = [[d.permutation(12) for d in draws] for _ in range(50)]
+    for f in x:
+        def moran(at):
+            z = {i: x[f].get(at[i], 0.0) for i in at}
+            mean = sum(z.values()) / 24
+            return 24 / 44 * sum(2 * (z[a] - mean) * (z[b] - mean) for a, b, _ in edges) / sum((u - mean) ** 2 for u in z.values())
+
+        null = [moran({own[k][j]: own[k][o[k][j]] for k in range(2) for j in range(12)}) for o in orders]
+        assert abs(got[f].moran - plain[f]) < 1e-9 and abs(got[f].null_mean - np.mean(null)) < 1e-9
+        assert abs(got[f].p - (1 + sum(u >= plain[f] - 1e-9 for u in null)) / 51) < 1e-12
+    assert got["u"].p == 1 / 51
+
+
+def test_moran_query_tests_every_feature_by_2000_shuffles(spark):
+    from pairloom.plans import catalog
+    from pairloom.sources import views
+
+    got = catalog.QUERIES["m43_permuted_moran"](spark, "/root/testdata/sf0.001").collect()
+    assert {r.feature for r in got} == {r.feature for r in views.counts(spark, "/root/testdata/sf0.001").select("feature").distinct().collect()}
+    assert all(abs(r.p * 2001 - round(r.p * 2001)) < 1e-6 for r in got)
+
+
+def test_greedy_sweeps_end_when_no_edge_moves(spark, monkeypatch):
+    rows = [(i, i + 100, int(i % 2 * 3 + j), 9.0) for i in range(20) for j in range(3)]
+    p = cluster.profiles(spark.createDataFrame(rows, "a long, b long, dim int, value double"))
+    swept, n = cluster._swept, []
+    monkeypatch.setattr(cluster, "_swept", lambda *a: n.append(a[-1]) or swept(*a))
+    start = p.withColumn("label", (F.col("a") % 2).cast("int")).select("a", "b", "label", "cols", "vals")
+    got = cluster.refine(start, 2, 6, 0, 10, 2, 1).collect()
+    assert len(n) == 1 and all(r.label == r.a % 2 for r in got)
+    n.clear()
+    labels = {r.a: r.label for r in cluster.refine(start.withColumn("label", (F.col("a") % 10 == 0).cast("int")), 2, 6, 0, 10, 2, 1).collect()}
+    assert 1 < len(n) < 10 and all(labels[i] == labels[i % 2] for i in labels)
