@@ -106,7 +106,7 @@ def identity_bits(vectors: DataFrame, bits: int, dims: int, seed: int) -> DataFr
 
 
 def simulate(spark, sections: int, spots: int, genes: int, domains: int, effect: float, seed: int) -> DataFrame:
-    """section, spot, x, y, domain, state, gene, count: planted domains from smooth fields, Poisson counts by keyed draws."""
+    """section, spot, x, y, domain, gene, count: planted domains from smooth fields, Poisson counts by keyed draws."""
     schema = "section int, spot int, x double, y double, domain int, gene int, count long"
 
     def each(batches):
