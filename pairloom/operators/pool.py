@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,6 +10,14 @@ from ..functions.expr import log_cp10k, x_ln_x
 from . import graph
 
 
+def collected(rows: DataFrame, most: int) -> list[Row]:
+    """All rows, on the driver; more than `most` raise an error."""
+    got = rows.limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} rows to collect")
+    return got
+
+
 def totals(counts: DataFrame, by: str) -> DataFrame:
     return counts.groupBy(by).agg(F.sum("count").alias("total"))
 

@@ -1,6 +1,7 @@
 """Queries over iterative and numeric operators (no SQL unless it can express them)."""
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ def g15(s, d):
 @query("m6_dictionary_merge")
 def m6(s, d):
     st = P.community_stats(V.communities(s, d), G.pool_endpoints(V.contacts(s, d), V.counts(s, d)))
-    rows = st.select("community", "feature", F.log1p("total").alias("v")).limit(100_000).collect()
+    rows = P.collected(st.select("community", "feature", F.log1p("total").alias("v")), 100_000)
     k, g = sorted({r["community"] for r in rows}), sorted({r["feature"] for r in rows})
     m = np.zeros((len(k), len(g)))
     for r in rows:
@@ -124,7 +125,8 @@ def m17(s, d):
 @query("m18_shared_difference_svd")
 def m18(s, d):
     pooled = G.shared_difference(V.contacts(s, d), V.counts(s, d)).join(V.contacts(s, d).select("a", "b", "section"), ["a", "b"])
-    m = pooled.groupBy("section", "feature").agg(F.log1p(F.avg("shared")).alias("s"), F.log1p(F.avg("difference")).alias("x")).limit(1_000_000).toPandas()
+    rows = P.collected(pooled.groupBy("section", "feature").agg(F.log1p(F.avg("shared")).alias("s"), F.log1p(F.avg("difference")).alias("x")), 1_000_000)
+    m = pd.DataFrame(rows, columns=["section", "feature", "s", "x"])
     t = np.concatenate([m.pivot(index="feature", columns="section", values=c).fillna(0).sort_index().to_numpy() for c in ("s", "x")])
     t = t - t.mean(1, keepdims=True)
     u, w, _ = np.linalg.svd(t, full_matrices=False)
@@ -137,7 +139,7 @@ def _mixture(s, d):
     counts = V.counts(s, d)
     dims = _dims(counts)
     kinds = V.cells(s, d).select("cell", F.col("kind").alias("group"))
-    profile = P.pseudobulk(counts, kinds).join(dims, "feature").limit(100_000).collect()
+    profile = P.collected(P.pseudobulk(counts, kinds).join(dims, "feature"), 100_000)
     table = {k: [0.0] * 25 for k in sorted({r["group"] for r in profile})}
     for r in profile:
         table[r["group"]][r["dim"]] = r["count"]

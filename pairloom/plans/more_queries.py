@@ -129,7 +129,7 @@ def o1(s, d):
 
 @query("o4_heaviest_first")
 def o4(s, d):
-    sizes = [(r["feature"], r["total"]) for r in P.totals(V.counts(s, d), "feature").orderBy("feature").limit(10_000).collect()]
+    sizes = [(r["feature"], r["total"]) for r in P.collected(P.totals(V.counts(s, d), "feature").orderBy("feature"), 10_000)]
     return s.createDataFrame(sorted(N.heaviest_first(sizes, 4).items()), "feature string, shard int")
 
 
@@ -211,8 +211,8 @@ def m30(s, d):
 
 @query("m38_sup_t_band")
 def m38(s, d):
-    t = V.cells(s, d).groupBy("section", "kind").agg(F.sum(F.col("x") / 1000).alias("v")).groupBy("section").pivot("kind").sum("v").na.fill(0.0).orderBy("section").limit(10_000)
-    v = np.array([r[1:] for r in t.collect()], float)
+    t = V.cells(s, d).groupBy("section", "kind").agg(F.sum(F.col("x") / 1000).alias("v")).groupBy("section").pivot("kind").sum("v").na.fill(0.0).orderBy("section")
+    v = np.array([r[1:] for r in P.collected(t, 10_000)], float)
     return s.createDataFrame([(X.sup_t(v, 2000, 1),)], "critical double")
 
 
@@ -254,7 +254,7 @@ def m48(s, d):
     full = V.cells(s, d).select("cell").join(F.broadcast(dims.join(m, "feature"))).join(value, ["cell", "feature"], "left")
     z = F.least((F.coalesce("value", F.lit(0.0)) - F.col("mean")) / F.sqrt("variance"), F.lit(10.0))
     arrays = full.groupBy("cell").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", z.alias("z")))), lambda x: x["z"]).alias("design"))
-    g = X.gram(arrays.withColumn("zero", F.lit(0.0)).withColumn("one", F.lit(1)), "design", "zero", ["one"]).filter("j >= 0").limit(1_000_000).collect()
+    g = P.collected(X.gram(arrays.withColumn("zero", F.lit(0.0)).withColumn("one", F.lit(1)), "design", "zero", ["one"]).filter("j >= 0"), 1_000_000)
     a = np.zeros((25, 25))
     for r in g:
         a[r["i"], r["j"]] = r["v"]
@@ -294,7 +294,7 @@ def m55(s, d):
 def m57(s, d):
     n = V.cells(s, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
     c = V.counts(s, d).filter("feature = 'Brand#23'").join(V.cells(s, d).select("cell", "kind"), "cell").groupBy("kind").agg(F.sum("count").alias("s"), F.count(F.when(F.col("count") > 0, 1)).alias("k"))
-    rows = n.join(c, "kind").limit(10_000).collect()
+    rows = P.collected(n.join(c, "kind"), 10_000)
     return s.createDataFrame([(r["kind"], *N.zip_by_moments(r["s"] / r["n"], r["k"] / r["n"])) for r in rows], "kind string, p double, rate double")
 
 

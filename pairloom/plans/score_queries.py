@@ -3,6 +3,7 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import pool as P
 from ..operators import score as C
 from ..operators import stats as S
 from ..sources import views as V
@@ -114,7 +115,7 @@ def g50(s, d):
 
 @query("g50_paired_tests")
 def g50_tests(s, d):
-    deltas = [r["delta"] for r in C.paired(units(s, d)).orderBy("donor").limit(10_000).collect()]
+    deltas = [r["delta"] for r in P.collected(C.paired(units(s, d)).orderBy("donor"), 10_000)]
     return s.createDataFrame([(len(deltas), C.sign_test(deltas), C.wilcoxon(deltas))], "donors int, sign_p double, wilcoxon_p double")
 
 

@@ -315,3 +315,17 @@ def test_greedy_sweeps_end_when_no_edge_moves(spark, monkeypatch):
     n.clear()
     labels = {r.a: r.label for r in cluster.refine(start.withColumn("label", (F.col("a") % 10 == 0).cast("int")), 2, 6, 0, 10, 2, 1).collect()}
     assert 1 < len(n) < 10 and all(labels[i] == labels[i % 2] for i in labels)
+
+
+CAPPED = ["m6_dictionary_merge", "m18_shared_difference_svd", "m23_em_proportions", "m25_heldout_ablation", "m38_sup_t_band", "m48_single_cell_baseline", "m57_producer_calibration", "o4_heaviest_first", "g50_paired_tests"]
+
+
+@pytest.mark.parametrize("name", CAPPED)
+def test_more_rows_than_the_driver_takes_raise(spark, monkeypatch, name):
+    from pairloom.plans import catalog
+
+    all_rows = pool.collected
+    assert len(all_rows(spark.range(3), 3)) == 3
+    monkeypatch.setattr(pool, "collected", lambda rows, most: all_rows(rows, 1))
+    with pytest.raises(ValueError, match="more than 1 rows"):
+        catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
