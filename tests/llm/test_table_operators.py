@@ -110,3 +110,15 @@ def test_no_pair_below_the_cosine(spark):
     b[1] = np.tan(np.arccos(0.9799))
     df = spark.createDataFrame([(1, a.tolist(), 0), (2, b.tolist(), 0)], "vec_id long, embedding array<double>, label int")
     assert vectors.near_duplicates(df).agg(F.sum("n_links")).first()[0] == 0
+
+
+def test_lists_grow_with_the_vectors():
+    rng = np.random.default_rng(1)
+    x, o = rng.normal(size=(2, 3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    o -= (o * x).sum(1, keepdims=True) * x
+    y = 0.98 * x + np.sqrt(1 - 0.98**2) * o / np.linalg.norm(o, axis=1, keepdims=True)
+    assert vectors.listed(64) == vectors.listed(1 << 14) == 24 < vectors.listed(1 << 15)
+    for rows in (1 << 20, 1 << 23):
+        missed = sum(not len(np.intersect1d(i, j)) for k in range(0, 3000, 500) for i, j in zip(vectors.decode(x[k : k + 500], rows), vectors.decode(y[k : k + 500], rows), strict=True))
+        assert missed < 3
