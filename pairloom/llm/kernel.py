@@ -85,14 +85,18 @@ def _words(data: np.ndarray, at: np.ndarray, prefix: int) -> tuple[np.ndarray, .
     whole = mix((total[ends] - total[starts]) * down[starts])
     if not prefix:
         return whole, starts
-    short = np.minimum(ends, starts + prefix)
+    short = starts + prefix
+    if len(data) and data.max() > 127:  # by the bytes that begin a code point
+        first = np.flatnonzero((data & 0xC0) != 0x80)
+        short = np.append(first, np.full(prefix + 1, len(data)))[np.searchsorted(first, starts) + prefix]
+    short = np.minimum(ends, short)
     return whole, starts, mix((total[short] - total[starts]) * down[starts])
 
 
 def words(texts: pa.Array, prefix: int = 0) -> tuple[np.ndarray, ...]:
     """(bounds, hashes): text i has the words hashes[bounds[i]:bounds[i+1]], in order.
 
-    With prefix, also the hashes of the words' first bytes.
+    With prefix, also the hashes of the words' first code points.
     A text longer than CHUNK is hashed piece by piece, cut between words.
     """
     data, at = buffers(texts)

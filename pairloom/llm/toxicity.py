@@ -1,6 +1,6 @@
 """Toxicity: class-conditional Kneser-Ney models over the pieces of words.
 
-A word is two pieces: its stem (the first STEM bytes) and the whole word. Each class has its own
+A word is two pieces: its stem (the first STEM code points) and the whole word. Each class has its own
 stem distribution; below it stands one backoff that both classes share,
 
     P_class(stem) = (c - d(c)) / C + (sum of d) / C * N1+(stem) / N1+(all)

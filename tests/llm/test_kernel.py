@@ -42,3 +42,16 @@ def test_shingles():
     assert [len(s) for s in got] == [2, 2, 1, 1, 1, 0, 0, 5]
     assert (got[0] == got[1]).all() and (got[2] == got[3]).all() and (got[2] != got[4]).all()
     assert np.isin(got[0], got[7]).all()
+
+
+def test_stems_are_cut_by_code_points():
+    texts = ["дурак дуракам дурно", "Straße straßen strafe", "笨蛋笨蛋笨了 笨蛋笨蛋笨呢 笨蛋笨蛋好", "short né é", "plain plainly plane", "😀😀😀😀😀a 😀😀😀😀😀b 😀😀😀😀c"]
+    for text in texts:
+        bounds, _, stems = kernel.words(pa.array([text]), 5)
+        words = text.split()
+        assert bounds.tolist() == [0, len(words)]
+        low = ["".join(c.lower() if c.isascii() else c for c in w[:5]) for w in words]
+        plain = kernel.words(pa.array([" ".join(low)]))[1]
+        assert stems.tolist() == plain.tolist()
+    several, _, stems = kernel.words(pa.array(["né", "", "éléphant éléphants", "été"]), 5)
+    assert several.tolist() == [0, 1, 1, 3, 4] and stems[1] == stems[2] != stems[3]
