@@ -8,8 +8,8 @@ an e-mail is sought from its @, digit runs are taken whole, and a text without a
 characters is not scanned for it.
 
 score: a base per kind, raised by 0.2 if one of the kind's context words stands within WINDOW
-characters, lowered by 0.2 if a word that speaks against it does. An iban stays if its score is at
-least 0.5; for base kinds the score only informs.
+characters, lowered by 0.2 if a word that speaks against it does. No span is dropped for its score (an
+iban has passed its check digits); op10_pii returns the scores in the column scores, in the order of spans.
 
 Null and empty texts have no spans. Repeated rows stay repeated; extra columns are not read; an
 empty table gives no rows.
@@ -115,9 +115,7 @@ def find(text: str | None) -> list[tuple[int, int, int, float]]:
     out = []
     for k, kind in enumerate(KINDS):
         for a, z in _FIND[kind](text):
-            s = score(text, kind, a, z)
-            if k < BASE or s >= 0.5:
-                out.append((a, k, z, s))
+            out.append((a, k, z, score(text, kind, a, z)))
     return sorted(out)
 
 
@@ -145,7 +143,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind):
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *map(count, KINDS[:BASE]), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *map(count, KINDS[:BASE]), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), F.transform("spans", lambda s: s["score"]).alias("scores"))
 
 
 QUERIES = {"op10_pii": op10_pii}

@@ -260,3 +260,12 @@ def test_items_at_the_end_of_a_long_text():
     long = "x y z " * 400_000 + item.decode()
     got = index.matches(pa.array([long, "none", item.decode().upper() + "!"]))
     assert [(t, e, a) for t, _, e, a, _ in got] == [(0, 0, 2_400_000), (2, 0, 0)]
+
+
+def test_pii_query_returns_scores_that_context_changes(spark, tmp_path):
+    iban = "DE89 3704 0044 0532 0130 00"
+    rows = [(1, f"my bank: {iban}"), (2, f"see {iban}"), (3, f"serial {iban}"), (4, "mail a@b.de or noreply"), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in pii.op10_pii(spark, str(tmp_path)).collect()}
+    assert [got[k]["scores"] for k in range(1, 6)] == [[0.9], [0.7], [0.5], [0.8], []]
+    assert all(len(r["scores"]) == len([x for x in r["spans"].split(",") if x]) for r in got.values())
