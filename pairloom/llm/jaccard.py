@@ -1,13 +1,16 @@
 """N-gram Jaccard join by PartEnum signatures.
 
 A document is the set of its distinct word shingles; two link when their Jaccard similarity is at
-least percent / 100. Sets are put into bands of nearly equal size. For each band the similarity
-bounds the Hamming distance of two sets by k, so of k + 1 + spare parts of the feature domain
-(ranges of the shingles' hash) at least 1 + spare hold the same shingles of both. Each part's shingles
-make one signature. A set signs for its own band, and for the next one if a set there can be
-similar enough. Empty parts make no signature for sets with at most `spare` of them, as one of the
-agreeing parts is then not empty; the few other sets sign their empty parts too. So similar sets
-always share a signature.
+least percent / 100. Sets are put into bands of nearly equal size, and for each band the similarity
+bounds the Hamming distance of two sets by k. The feature domain (the shingles' hash) is cut into
+first-level parts and each of these into PARTS second-level parts. A set's signatures are, for each
+first-level part, its shingles in every subset of PARTS - LEFT_OUT second-level parts. First-level
+parts with at most LEFT_OUT differing shingles have a subset without any; there are so many parts
+that similar sets share several signatures. A set signs for its own band, and for the next one if a
+set there can be similar enough. Subsets without shingles make no signature; sets with too many
+such subsets to be sure of a shared one sign them too. So similar sets always share at least
+`need` signatures, a number that is known for each set (signatures()), and it is enough to meet
+under the rarest m - need + 1 of the m that a set shares with any other (_rarest()).
 
 Only components are wanted, so pairs are not listed:
 1. equal sets are one node from the start;
@@ -15,10 +18,13 @@ Only components are wanted, so pairs are not listed:
 3. for some rounds, every node whose component is not its signatures' least one is compared with
    one node of that: of those it shares signatures with, in the order of how many; components that
    are similar grow together, with as many comparisons as nodes in a round;
-4. within a signature, only nodes whose components are still apart are compared (all of them,
-   after bounds on size and on parity sketches of 256 and WIDE bits, which never differ in more
-   bits than the sets' distance).
-Every comparison is exact over whole sets.
+4. signatures whose nodes are still apart go by their least node, the hub: all nodes that share a
+   signature with a hub are compared, in blocks, if their components are apart, by size and by
+   sketches of parities as wide as the set is large, which never differ in more bits than the sets
+   do. A node is sent once to each of its hubs, not once for each signature, and only pairs that
+   these bounds don't exclude leave the task (a similarity a few hundredths below the asked one
+   is excluded).
+Every comparison that links is exact over whole sets.
 
 A document without words or text has an empty set: 0 shingles, linked with nothing, a component of
 its own. A null doc_id is never the smallest id if there is another; rows with one doc_id and
@@ -29,6 +35,7 @@ link(); keep_one() keeps them. Nodes are 64-bit hashes of whole sets.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 
 import numpy as np
@@ -41,10 +48,17 @@ from . import kernel
 from .common import Store, bounded_batches, components, table
 
 RATIO = 1.3
+#: Second-level parts of a first-level part, and how many of them a subset leaves out.
+PARTS, LEFT_OUT = 3, 1
+SUBSETS = list(itertools.combinations(range(PARTS), PARTS - LEFT_OUT))
+#: First-level parts beyond those that the distance asks for and beyond those expected to be too empty.
+EXTRA = 2
 #: Rounds of comparing nodes with one node of another component, at most, before all that are apart are compared.
 ROUNDS = 3
-#: Bits of the wide parity sketch.
-WIDE = 2048
+#: Nodes of one hub that a task compares at once; more are dealt by pairs of chunks.
+GROUP = 512
+#: Pairs whose sketches a task compares at once, and bytes of rows whose groups it holds.
+PAIRS, HELD = 1 << 18, 8 << 20
 #: So many nodes (24 bytes each) are broadcast to the texts at most; more are joined by shuffling both sides.
 SENT = 1 << 20
 _U = np.uint64
@@ -52,14 +66,18 @@ _U = np.uint64
 
 @functools.lru_cache(8)
 def bands(percent: int) -> dict[str, np.ndarray]:
-    """By band: its least and largest size, its parts, and the empty parts that go unsigned; parts 0: only equal sets link."""
-    out = {"low": [0], "high": [0], "parts": [0], "spare": [0]}
+    """By band: its least and largest size, the largest distance of its pairs, its first-level parts; 0 parts: only equal sets link."""
+    out = {"low": [0], "high": [0], "k": [0], "first": [0]}
     low = 1
     while low < 1 << 40:
         high = max(low, int(low * RATIO))
-        k = (100 - percent) * 2 * high // (100 + percent)
-        spare = 2 + math.ceil(2 * (k + 1) * math.exp(-0.01 * percent * low / (k + 1)))
-        for name, x in (("low", low), ("high", high), ("parts", k + 1 + spare if k else 0), ("spare", spare)):
+        k = distance(high, high, percent)
+        first = k // (LEFT_OUT + 1) + 1
+        empty = math.exp(-low / (first * PARTS))  # the chance of a second-level part to be empty
+        rest = PARTS - LEFT_OUT
+        risky = sum(math.comb(PARTS, j) * empty**j * (1 - empty) ** (PARTS - j) for j in range(rest, PARTS + 1))
+        first += EXTRA + math.ceil(risky * first)
+        for name, x in (("low", low), ("high", high), ("k", k), ("first", first if k else 0)):
             out[name].append(x)
         low = high + 1
     return {k: np.array(v, np.int64) for k, v in out.items()}
@@ -79,60 +97,118 @@ def node(shingles: np.ndarray) -> int | None:
     return int(kernel.mix(np.array([total], _U)).view(np.int64)[0])
 
 
-def _sets(texts: pa.Array, words: int) -> list[np.ndarray]:
-    out = []
-    for _, run in kernel.runs(texts):
-        out += kernel.shingles(*kernel.words(run), words)
-    return out
-
+def _code(band, first, subset) -> np.ndarray:
+    return kernel.mix((np.asarray(band).astype(_U) << _U(48)) + np.asarray(first).astype(_U) * _U(len(SUBSETS)) + _U(subset))
 
-def _rows(words: int):
-    def each(batches):
-        for b in batches:
-            sets = _sets(b.column("text"), words)
-            yield pa.record_batch([b.column("doc_id"), b.column("th"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node(s) for s in sets], pa.int64())], names=["doc_id", "th", "n_shingles", "node"])
 
-    return each
+def _named(total: np.ndarray, code: np.ndarray, band) -> np.ndarray:
+    """Signatures from a subset's content and place; the last bit says whether the band is odd."""
+    return (kernel.mix(total + code) & ~_U(1)) | (np.asarray(band).astype(_U) & _U(1))
 
 
-def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, which set) for all signatures of the sets."""
+def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, which set) for all signatures of the sets; and for each set the least number of
+    signatures that it shares with a similar set in its even and in its odd band (0: it signs for none)."""
     b = bands(percent)
     sizes = np.array([len(s) for s in sets], np.int64)
     own = np.searchsorted(b["high"], sizes, "left")
     flat = np.concatenate(sets) if sets else np.zeros(0, _U)
     weight = kernel.mix(flat ^ _U(0xA5A5A5A5DEADBEEF))
     who = np.repeat(np.arange(len(sets)), sizes)
+    need = np.zeros((len(sets), 2), np.int64)
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for step in (0, 1):
         band = own + step
-        parts, spare = b["parts"][band], b["spare"][band]
-        on = parts > 0
+        first, k = b["first"][band], b["k"][band]
+        on = (first > 0) & (sizes > 0)
         if step:
             on &= percent * b["low"][band] <= 100 * sizes
-        on &= sizes > 0
         pick = on[who]
         if not pick.any():
             continue
         w, h = who[pick], flat[pick]
-        part = ((h >> _U(32)) * parts[w].astype(_U)) >> _U(32)  # sorted hashes: a part is a run of them
+        part = ((h >> _U(32)) * (first[w] * PARTS).astype(_U)) >> _U(32)  # sorted hashes: a part is a run of them
         starts = np.flatnonzero(np.concatenate(([True], (w[1:] != w[:-1]) | (part[1:] != part[:-1]))))
         total = np.add.reduceat(weight[pick], starts)
-        w, part = w[starts], part[starts]
-        found.append((kernel.mix(total + kernel.mix((band[w].astype(_U) << _U(40)) + part)), w))
-        filled = np.bincount(w, minlength=len(sets))
-        for i in np.flatnonzero(on & (parts - filled > spare)):
-            empty = np.setdiff1d(np.arange(parts[i], dtype=_U), part[w == i])
-            found.append((kernel.mix(kernel.mix((_U(band[i]) << _U(40)) + empty)), np.full(len(empty), i)))
+        w, part = w[starts], part[starts].astype(np.int64)
+        above = part // PARTS
+        turn = np.concatenate(([True], (w[1:] != w[:-1]) | (above[1:] != above[:-1])))
+        at = np.cumsum(turn) - 1
+        w, above = w[turn], above[turn]
+        sums = np.zeros((len(w), PARTS), _U)
+        sums[at, part % PARTS] = total
+        filled = np.zeros((len(w), PARTS), bool)
+        filled[at, part % PARTS] = True
+        has = np.stack([filled[:, s].any(axis=1) for s in SUBSETS])
+        sound = np.bincount(w[has.all(axis=0)], minlength=len(sets))
+        shared = np.where(on, (LEFT_OUT + 1) * sound - k, 0)
+        rows = np.flatnonzero(on)
+        need[rows, band[rows] % 2] = np.maximum(shared[rows], 1)
+        for j, s in enumerate(SUBSETS):
+            x, f = w[has[j]], above[has[j]]
+            found.append((_named(sums[has[j]][:, s].sum(axis=1, dtype=_U), _code(band[x], f, j), band[x]), x))
+        for i in np.flatnonzero(on & (shared < 1)):
+            for j in range(len(SUBSETS)):
+                empty = np.setdiff1d(np.arange(first[i]), above[(w == i) & has[j]])
+                found.append((_named(_U(0), _code(band[i], empty, j), band[i]), np.full(len(empty), i)))
     if not found:
-        return np.zeros(0, _U), np.zeros(0, np.int64)
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        return np.zeros(0, _U), np.zeros(0, np.int64), need
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), need
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """Parities of the shingles by some bits of their hash; a power of two of bits, 1.5 times the shingles at least."""
+    bits = max(64, 1 << (3 * len(shingles) // 2 - 1).bit_length())
+    odd = np.bincount(((shingles >> _U(8)) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing(marks: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The number of bits in which sketches a[i] and b[i] differ, the wider folded onto the narrower."""
+    words = np.array([len(m) // 8 for m in marks], np.int64)
+    at = np.concatenate(([0], np.cumsum(words)))
+    flat = np.frombuffer(b"".join(marks), _U)
+    out = np.zeros(len(a), np.int64)
+    wide, thin = np.where(words[a] >= words[b], a, b), np.where(words[a] >= words[b], b, a)
+    kinds = words[wide] * (1 << 32) + words[thin]
+    for kind in np.unique(kinds):
+        pick = np.flatnonzero(kinds == kind)
+        long, short = int(kind) >> 32, int(kind) & 0xFFFFFFFF
+        for i in range(0, len(pick), max(1, PAIRS * 8 // long)):
+            p = pick[i : i + max(1, PAIRS * 8 // long)]
+            x = flat[at[wide[p]][:, None] + np.arange(long)]
+            while x.shape[1] > short:
+                x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+            out[p] = np.bitwise_count(x ^ flat[at[thin[p]][:, None] + np.arange(short)]).sum(axis=1)
+    return out
+
+
+def _sets(texts: pa.Array, words: int) -> list[np.ndarray]:
+    out = []
+    for _, run in kernel.runs(texts):
+        out += kernel.shingles(*kernel.words(run), words)
+    return out
+
+
+def _rows(words: int, percent: int):
+    def each(batches):
+        for b in batches:
+            sizes, nodes, needs = [], [], []
+            for _, run in kernel.runs(b.column("text")):
+                sets = kernel.shingles(*kernel.words(run), words)
+                sizes += [len(s) for s in sets]
+                nodes += [node(s) for s in sets]
+                needs.append(signatures(sets, percent)[2])
+            need = np.concatenate(needs) if needs else np.zeros((0, 2), np.int64)
+            yield pa.record_batch([b.column("doc_id"), b.column("th"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), *[pa.array(need[:, i]) for i in (0, 1)]], names=["doc_id", "th", "n_shingles", "node", "even", "odd"])
+
+    return each
 
 
 def _signer(words: int, percent: int):
     def each(batches):
+        seen: set[int] = set()  # copies in one task sign once
         for b in batches:
-            seen: set[int] = set()  # copies in one batch sign once
             for _, run in kernel.runs(b.column("text")):
                 sets, nodes = [], []
                 for s in kernel.shingles(*kernel.words(run), words):
@@ -141,7 +217,7 @@ def _signer(words: int, percent: int):
                         seen.add(x)
                         sets.append(s)
                         nodes.append(x)
-                signed, who = signatures(sets, percent)
+                signed, who, _ = signatures(sets, percent)
                 yield pa.record_batch([pa.array(signed.view(np.int64)), pa.array(np.array(nodes, np.int64)[who])], names=["sig", "node"])
 
     return each
@@ -151,24 +227,109 @@ def _keeper(words: int):
     def each(batches):
         seen: set[int] = set()  # repeated rows of one document meet here
         for b in batches:
-            nodes, sets, sketches, wide = [], [], [], []
+            nodes, sets = [], []
             for want, s in zip(b.column("node").to_pylist(), _sets(b.column("text"), words), strict=True):
                 if want not in seen:
                     seen.add(want)
                     nodes.append(want)
-                    sets.append(s.view(np.int64))
-                    odd = np.bincount((s & _U(255)).astype(np.int64), minlength=256) & 1
-                    sketches.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-                    odd = np.bincount(((s >> _U(8)) & _U(WIDE - 1)).astype(np.int64), minlength=WIDE) & 1
-                    wide.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                    sets.append(s)
             ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-            held = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
-            marks = np.array(sketches, np.int64).reshape(-1, 4)
-            yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(np.diff(ends).astype(np.int64)), held, *[pa.array(marks[:, i]) for i in range(4)], pa.array([w.tolist() for w in wide], pa.list_(pa.int64()))], names=["node", "n", "held", "k0", "k1", "k2", "k3", "wide"])
+            held = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)))
+            yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(np.diff(ends).astype(np.int64)), held, pa.array([sketch(s) for s in sets], pa.binary())], names=["node", "n", "held", "mark"])
 
     return each
 
 
+def _may(n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
+    return (n_a * 100 >= n_b * percent) & (n_b * 100 >= n_a * percent)
+
+
+def _close(marks: list[bytes], sizes: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs' sketches don't exclude similarity: they never differ in more bits than the sets do."""
+    return differing(marks, a, b) <= distance(sizes[a], sizes[b], percent)
+
+
+def _sifter(percent: int):
+    def each(batches):
+        for b in batches:
+            m = b.num_rows
+            marks = b.column("ma").to_pylist() + b.column("mb").to_pylist()
+            sizes = np.concatenate([b.column(c).to_numpy() for c in ("na", "nb")])
+            one, two = np.arange(m), np.arange(m, 2 * m)
+            good = pa.array(_may(sizes[:m], sizes[m:], percent) & _close(marks, sizes, one, two, percent))
+            yield pa.record_batch([b.column("a").filter(good), b.column("b").filter(good)], names=["a", "b"])
+
+    return each
+
+
+def _groups(batches):
+    """(rows, where groups of equal hub, one, two begin and the last ends), of about HELD bytes or one group, from sorted batches."""
+    held: list[pa.Table] = []
+    size = 0
+
+    def cuts(t):
+        cols = [t[c].to_numpy() for c in ("hub", "one", "two")]
+        return np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols])) + 1
+
+    for b in batches:
+        held.append(pa.Table.from_batches([b]))
+        size += b.nbytes
+        if size >= HELD:
+            t = pa.concat_tables(held)
+            at = cuts(t)
+            if len(at):
+                yield t.slice(0, int(at[-1])), np.concatenate(([0], at))
+                t = t.slice(int(at[-1]))
+            held, size = [t], t.nbytes
+    if held and (t := pa.concat_tables(held)).num_rows:
+        at = cuts(t)
+        yield t, np.concatenate(([0], at, [t.num_rows]))
+
+
+def _pairs(bounds: np.ndarray):
+    """(a, b) of all rows a < b of one group, in blocks of about PAIRS pairs; groups of equal size at once."""
+    sizes = np.diff(bounds)
+    for n in np.unique(sizes[sizes > 1]).tolist():
+        starts = bounds[:-1][sizes == n]
+        i, j = np.triu_indices(n, 1)
+        step = max(1, PAIRS // len(i))
+        for k in range(0, len(starts), step):
+            own = starts[k : k + step, None]
+            yield (own + i).ravel(), (own + j).ravel()
+
+
+def _finder(percent: int):
+    """Pairs of one hub's nodes that are in two components and not excluded by size or sketch."""
+
+    def each(batches):
+        for t, bounds in _groups(batches):
+            node_, component, n, chunk = (t[c].to_numpy() for c in ("node", "component", "n", "chunk"))
+            split = t["one"].to_numpy() != t["two"].to_numpy()
+            names, at = np.unique(node_, return_inverse=True)
+            lead = np.zeros(len(names), np.int64)
+            lead[at] = np.arange(len(at))
+            marks, sizes = t["mark"].take(pa.array(lead)).to_pylist(), n[lead]
+            found = []
+            for a, b in _pairs(bounds):
+                good = (component[a] != component[b]) & _may(n[a], n[b], percent) & (~split[a] | (chunk[a] != chunk[b]))
+                x, y = at[a[good]], at[b[good]]
+                both = np.unique(np.minimum(x, y) * len(names) + np.maximum(x, y))  # once, however many hubs they share here
+                x, y = both // max(1, len(names)), both % max(1, len(names))
+                good = _close(marks, sizes, x, y, percent)
+                found.append((x[good], y[good]))
+            x, y = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+            yield pa.record_batch([pa.array(names[x]), pa.array(names[y])], names=["a", "b"])
+
+    return each
+
+
+def _sift(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sketches don't exclude similarity; sketches are far smaller than the sets."""
+    one = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("mark").alias("ma"))
+    two = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("mark").alias("mb"))
+    return pairs.join(one, "a").join(two, "b").select("a", "na", "ma", "b", "nb", "mb").mapInArrow(_sifter(percent), "a long, b long")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets are similar enough."""
     one = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("held").alias("ha"))
@@ -177,14 +338,6 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").withColumn("same", same).filter(F.col("same") * 100 >= (F.col("na") + F.col("nb") - F.col("same")) * percent).select("a", "b")
 
 
-def _sift(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose wide parity sketches don't exclude similarity; far smaller than the sets."""
-    one = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa"))
-    two = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb"))
-    differ = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    return pairs.join(one, "a").join(two, "b").filter(differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
-
-
 def _compare(store: Store, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The similar pairs: sketches first, then whole sets, of the nodes that are left only."""
     pairs = store.write(_sift(pairs, sets, percent))
@@ -197,8 +350,25 @@ def _apart(met: DataFrame, joined: DataFrame) -> DataFrame:
     """sig, node, component of the signatures whose nodes are not all in one component yet."""
     by = W.partitionBy("sig")
     out = met.select("sig", "node").join(joined, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
-    out = out.withColumn("least", F.min("component").over(by)).withColumn("most", F.max("component").over(by)).filter("least <> most")
-    return out.select("sig", "node", "component").distinct()
+    return out.withColumn("least", F.min("component").over(by)).withColumn("most", F.max("component").over(by)).filter("least <> most").select("sig", "node", "component")
+
+
+def _rarest(store: Store, signed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """sig, node, least (the signature's least node): of each node only the signatures by which a similar one finds it.
+
+    A node that shares fewer signatures than it would with a similar one goes. Of m shared ones, at
+    least `need` of them with every similar node, the m - need + 1 rarest hold one that is among
+    that node's rarest as well (all nodes order signatures alike, by frequency and value).
+    """
+    by = W.partitionBy("sig")
+    ends = [F.min("node").over(by).alias("least"), F.max("node").over(by).alias("most"), F.count(F.lit(1)).over(by).alias("f")]
+    met = store.write(signed.select("sig", "node", *ends).filter("least <> most").select("sig", "node", "f").distinct())
+    store.release()
+    own = W.partitionBy("node", "side")
+    met = met.withColumn("side", F.col("sig").bitwiseAND(1)).withColumn("m", F.count(F.lit(1)).over(own)).withColumn("r", F.row_number().over(own.orderBy("f", "sig")))
+    met = met.join(nodes.select("node", "even", "odd"), "node").withColumn("need", F.when(F.col("side") == 0, F.col("even")).otherwise(F.col("odd")))
+    met = met.filter("m >= need AND r <= m - need + 1").select("sig", "node", *ends[:2]).filter("least <> most")
+    return store.write(met.select("sig", "node", "least"))
 
 
 def link(docs: DataFrame, words: int, percent: int, store: Store) -> DataFrame:
@@ -206,32 +376,29 @@ def link(docs: DataFrame, words: int, percent: int, store: Store) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bounded_batches(docs.sparkSession)
     hashed = docs.withColumn("th", F.xxhash64("text"))
-    rows = store.write(hashed.mapInArrow(_rows(words), "doc_id long, th long, n_shingles long, node long"))
-    signed = docs.select("text").mapInArrow(_signer(words, percent), "sig long, node long")
-    by = W.partitionBy("sig")
-    met = signed.withColumn("least", F.min("node").over(by)).withColumn("most", F.max("node").over(by)).filter("least <> most")
-    met = store.write(met.select("sig", "node", "least"))
+    rows = store.write(hashed.mapInArrow(_rows(words, percent), "doc_id long, th long, n_shingles long, node long, even long, odd long"))
+    nodes = store.write(rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("one"), F.max("even").alias("even"), F.max("odd").alias("odd")))
+    met = _rarest(store, docs.select("text").mapInArrow(_signer(words, percent), "sig long, node long"), nodes)
     store.release()
 
-    hubs = met.filter("node <> least").groupBy("node", "least").agg(F.countDistinct("sig").alias("c"))
+    hubs = met.filter("node <> least").groupBy("node", "least").agg(F.count(F.lit(1)).alias("c"))
     first = store.write(hubs.groupBy("node").agg(F.max(F.struct("c", "least")).alias("best")).select(F.col("node").alias("a"), F.col("best.least").alias("b")))
-    wanted = met.select("node").distinct().join(rows.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("one")), "node")
-    wanted = store.write(wanted.select("node", F.col("one.doc_id").alias("id"), "one.th"))
+    wanted = store.write(met.select("node").distinct().join(nodes, "node").select("node", F.col("one.doc_id").alias("id"), "one.th"))
     few = F.broadcast(wanted) if wanted.count() <= SENT else wanted
     texts = hashed.join(few, hashed["doc_id"].eqNullSafe(wanted["id"]) & (hashed["th"] == wanted["th"])).select("node", "text")
-    sets = store.write(texts.mapInArrow(_keeper(words), "node long, n long, held array<long>, k0 long, k1 long, k2 long, k3 long, wide array<long>"))
+    sets = store.write(texts.mapInArrow(_keeper(words), "node long, n long, held array<long>, mark binary"))
     store.release()
 
     links = store.write(_compare(store, first, sets, percent))
     joined = components(store, links)
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    by, own = W.partitionBy("sig"), W.partitionBy("node")
     for turn in range(ROUNDS):
         apart = store.write(_apart(met, joined))
         store.drop(met)
         met = apart
         near = met.withColumn("hub", F.min(F.struct("component", "node")).over(by)).filter(F.col("component") != F.col("hub.component"))
         near = near.groupBy("node", F.col("hub.node").alias("hub")).agg(F.count(F.lit(1)).alias("c"))
-        own = W.partitionBy("node")
         near = near.withColumn("r", F.row_number().over(own.orderBy(F.desc("c"), "hub"))).withColumn("n", F.count(F.lit(1)).over(own))
         best = near.filter(F.col("r") == F.least(F.lit(turn + 2), F.col("n")))  # the first was tried before
         best = store.write(best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
@@ -240,21 +407,19 @@ def link(docs: DataFrame, words: int, percent: int, store: Store) -> DataFrame:
         if got.isEmpty():
             break
         joined = components(store, joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(got))
-    apart = store.write(_apart(met, joined).join(sets.drop("held", "wide"), "node"))
-    names = [c for c in apart.columns if c != "sig"]
-    one, two = (apart.select("sig", *[F.col(c).alias(f"{c}_{x}") for c in names]) for x in "ab")
-    differ = sum((F.bit_count(F.col(f"k{i}_a").bitwiseXOR(F.col(f"k{i}_b"))) for i in range(4)), F.lit(0))
-    may = (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b"))
-    may &= (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
-    may &= differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
-    rest = one.join(two, "sig").filter(may).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    apart = _apart(met, joined).withColumn("hub", F.min(F.struct("component", "node")).over(by)["node"]).select("hub", "node", "component").distinct()
+    apart = apart.withColumn("parts", F.ceil(F.count(F.lit(1)).over(W.partitionBy("hub")) / GROUP).cast("int"))
+    apart = apart.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    apart = store.write(apart.select("hub", "node", "component", "chunk", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two")))
+    place = ["hub", "one", "two"]
+    sent = apart.join(sets.select("node", "n", "mark"), "node").repartition(*place).sortWithinPartitions(*place)
+    rest = sent.select(*place, "node", "component", "n", "mark", "chunk").mapInArrow(_finder(percent), "a long, b long").distinct()
     rest = store.write(rest.join(tried, ["a", "b"], "left_anti"))
     more = store.write(_compare(store, rest, sets, percent))
     if not more.isEmpty():
         joined = components(store, joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    store.drop(met, apart, sets)
-    ends = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least")).join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    ends = store.write(ends)
+    store.drop(met, sets)
+    ends = store.write(nodes.select("node", "least").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")))
     least = ends.groupBy("component").agg(F.min("least").alias("component_id"))
     named = ends.join(least, "component").select("node", "component", "component_id")
     out = rows.join(named, "node", "left")

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 
 import numpy as np
@@ -6,7 +7,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pairloom.llm import chat, decontam, jaccard, pii, quality, toxicity, url_rules
+from pairloom.llm import chat, decontam, jaccard, kernel, pii, quality, toxicity, url_rules
 from pairloom.llm.common import Store
 from pyspark.sql import functions as F
 
@@ -177,6 +178,21 @@ def test_jaccard_edges(spark):
     assert jaccard.link(df.limit(0), 4, 85, Store(spark)).count() == 0
 
 
+def met(a, b, percent):
+    """Whether two sets share as many signatures as both need, and one within the rarest of both, all being equally frequent."""
+    sig, who, need = jaccard.signatures([np.sort(a), np.sort(b)], percent)
+    one, two = set(sig[who == 0].tolist()), set(sig[who == 1].tolist())
+    assert len(one) == (who == 0).sum() and len(two) == (who == 1).sum()
+    both = one & two
+    if not both:
+        return False
+    side = both.pop() & 1
+    both = {s for s in one & two if s & 1 == side}
+    enough = len(both) >= need[:, side].max()
+    rarest = [set(sorted(s for s in x if s & 1 == side)[: sum(s & 1 == side for s in x) - need[i, side] + 1]) for i, x in enumerate((one, two))]
+    return bool(enough and rarest[0] & rarest[1])
+
+
 def test_signatures_never_miss_similar_sets():
     rng = np.random.default_rng(0)
     for percent in (80, 85):
@@ -186,8 +202,53 @@ def test_signatures_never_miss_similar_sets():
             b = a[lost:]
             if len(b) * 100 < percent * size or not lost:
                 continue
-            sig, who = jaccard.signatures([np.sort(a), np.sort(b)], percent)
-            assert set(sig[who == 0]) & set(sig[who == 1]), (percent, size, lost)
+            assert met(a, b, percent), (percent, size, lost)
+
+
+def test_signatures_of_all_sets_within_the_distance():
+    universe = np.sort(kernel.mix(np.arange(1, 13, dtype=np.uint64)))
+    for base in range(6, 12):
+        a = universe[:base]
+        for gone in itertools.chain.from_iterable(itertools.combinations(range(base), r) for r in range(3)):
+            for new in itertools.chain.from_iterable(itertools.combinations(range(base, 12), r) for r in range(3)):
+                b = np.concatenate([np.delete(a, gone), universe[list(new)]])
+                same = base - len(gone)
+                if (gone or new) and same * 100 >= 70 * (base + len(new)):
+                    assert met(a, b, 70), (base, gone, new)
+
+
+def test_sketches_differ_in_no_more_bits_than_sets():
+    rng = np.random.default_rng(1)
+    sets = [rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (1, 40, 50, 60, 300, 420, 5000)]
+    sets += [np.concatenate([s[len(s) // 5 :], rng.integers(0, 1 << 63, 1 + len(s) // 9, dtype=np.uint64)]) for s in sets]
+    marks = [jaccard.sketch(s) for s in sets]
+    i, j = np.triu_indices(len(sets), 0)
+    got = jaccard.differing(marks, i, j)
+    for a, b, d in zip(i, j, got, strict=True):
+        assert d <= len(set(sets[a].tolist()) ^ set(sets[b].tolist()))
+        assert d % 2 == (len(sets[a]) + len(sets[b])) % 2
+    assert jaccard.differing([], np.zeros(0, int), np.zeros(0, int)).size == 0
+
+
+@pytest.mark.parametrize("sent", [0, 1 << 20])
+def test_jaccard_groups_in_chunks(spark, monkeypatch, sent):
+    """Many texts that share most signatures and are just not similar, in groups of more than one chunk; both ways to join."""
+    monkeypatch.setattr(jaccard, "GROUP", 8)
+    monkeypatch.setattr(jaccard, "SENT", sent)
+    monkeypatch.setattr(jaccard, "ROUNDS", 1)
+    rng = random.Random(3)
+    base = [f"t{i}" for i in range(120)]
+    texts = []
+    for _ in range(40):
+        w = list(base)
+        for at in rng.sample(range(120), rng.randint(2, 8)):
+            w[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    sizes, root = brute(texts, 5, 70)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in jaccard.link(df, 5, 70, Store(spark)).collect()}
+    assert 1 < len(set(root)) < 40
+    assert [got[i]["component_id"] for i in range(len(texts))] == root
 
 
 # benchmark
