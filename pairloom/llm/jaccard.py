@@ -14,16 +14,15 @@ under the rarest m - need + 1 of the m that a set shares with any other (_rarest
 
 Only components are wanted, so pairs are not listed:
 1. equal sets are one node from the start;
-2. every node is compared with one node only, the least one that it shares most signatures with;
-3. for some rounds, every node whose component is not its signatures' least one is compared with
-   one node of that: of those it shares signatures with, in the order of how many; components that
-   are similar grow together, with as many comparisons as nodes in a round;
-4. signatures whose nodes are still apart go by their least node, the hub: all nodes that share a
-   signature with a hub are compared, in blocks, if their components are apart, by size and by
-   sketches of parities as wide as the set is large, which never differ in more bits than the sets
-   do. A node is sent once to each of its hubs, not once for each signature, and only pairs that
-   these bounds don't exclude leave the task (a similarity a few hundredths below the asked one
-   is excluded).
+2. the least node of a signature is its hub; a node is sent once to each hub that it shares a
+   signature with, not once for each signature;
+3. at a hub, all pairs of nodes whose components are apart are looked at, in blocks: by size and by
+   sketches of parities, wider than the sets are large, which never differ in more bits than the
+   sets do. So a similarity a little below the asked one is excluded;
+4. in ROUNDS rounds (the first over each node's best hub, the others over all) a spanning forest of the
+   likeliest pairs leaves the task, is compared by whole sets, and those that are similar join
+   components; so groups of copies cost as many comparisons as nodes in a round;
+5. at last all pairs that are still apart and not excluded are compared.
 Every comparison that links is exact over whole sets.
 
 A document without words or text has an empty set: 0 shingles, linked with nothing, a component of
@@ -53,7 +52,7 @@ PARTS, LEFT_OUT = 3, 1
 SUBSETS = list(itertools.combinations(range(PARTS), PARTS - LEFT_OUT))
 #: First-level parts beyond those that the distance asks for and beyond those expected to be too empty.
 EXTRA = 2
-#: Rounds of comparing nodes with one node of another component, at most, before all that are apart are compared.
+#: Rounds in which a forest of the likeliest pairs is compared, before all pairs that are apart and not excluded are.
 ROUNDS = 3
 #: Nodes of one hub that a task compares at once; more are dealt by pairs of chunks.
 GROUP = 512
@@ -157,8 +156,8 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """Parities of the shingles by some bits of their hash; a power of two of bits, 1.5 times the shingles at least."""
-    bits = max(64, 1 << (3 * len(shingles) // 2 - 1).bit_length())
+    """Parities of the shingles by some bits of their hash; a power of two of bits, 3 times the shingles at least."""
+    bits = max(64, 1 << (3 * len(shingles) - 1).bit_length())
     odd = np.bincount(((shingles >> _U(8)) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -244,24 +243,6 @@ def _may(n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
     return (n_a * 100 >= n_b * percent) & (n_b * 100 >= n_a * percent)
 
 
-def _close(marks: list[bytes], sizes: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs' sketches don't exclude similarity: they never differ in more bits than the sets do."""
-    return differing(marks, a, b) <= distance(sizes[a], sizes[b], percent)
-
-
-def _sifter(percent: int):
-    def each(batches):
-        for b in batches:
-            m = b.num_rows
-            marks = b.column("ma").to_pylist() + b.column("mb").to_pylist()
-            sizes = np.concatenate([b.column(c).to_numpy() for c in ("na", "nb")])
-            one, two = np.arange(m), np.arange(m, 2 * m)
-            good = pa.array(_may(sizes[:m], sizes[m:], percent) & _close(marks, sizes, one, two, percent))
-            yield pa.record_batch([b.column("a").filter(good), b.column("b").filter(good)], names=["a", "b"])
-
-    return each
-
-
 def _groups(batches):
     """(rows, where groups of equal hub, one, two begin and the last ends), of about HELD bytes or one group, from sorted batches."""
     held: list[pa.Table] = []
@@ -298,8 +279,36 @@ def _pairs(bounds: np.ndarray):
             yield (own + i).ravel(), (own + j).ravel()
 
 
-def _finder(percent: int):
-    """Pairs of one hub's nodes that are in two components and not excluded by size or sketch."""
+def forest(ends: np.ndarray, label: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Which of the edges (ends: 2 x edges) make a spanning forest of the labels of their ends, cheapest first."""
+    order = np.argsort(cost, kind="stable")
+    label, left, out = label.copy(), order, []
+    while True:
+        one, two = label[ends[0, left]], label[ends[1, left]]
+        left, one, two = left[one != two], one[one != two], two[one != two]
+        if not len(left):
+            return np.sort(np.concatenate(out)) if out else np.zeros(0, np.int64)
+        _, at = np.unique(np.concatenate([np.stack([one, two], 1).ravel()]), return_index=True)  # each label's cheapest edge
+        pick = np.unique(at // 2)
+        out.append(left[pick])
+        names, hook = np.unique(np.concatenate([one[pick], two[pick]]), return_inverse=True)
+        root = np.arange(len(names))
+        x, y = hook[: len(pick)], hook[len(pick) :]
+        while True:
+            new = root.copy()
+            low = np.minimum(root[x], root[y])
+            np.minimum.at(new, root[x], low)
+            np.minimum.at(new, root[y], low)
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        at = np.minimum(np.searchsorted(names, label), len(names) - 1)
+        label = np.where(names[at] == label, names[root[at]], label)
+
+
+def _finder(percent: int, whole: bool):
+    """Pairs of one hub's nodes that are in two components and not excluded by size or sketch: all, or a forest of the likeliest."""
 
     def each(batches):
         for t, bounds in _groups(batches):
@@ -308,28 +317,29 @@ def _finder(percent: int):
             names, at = np.unique(node_, return_inverse=True)
             lead = np.zeros(len(names), np.int64)
             lead[at] = np.arange(len(at))
-            marks, sizes = t["mark"].take(pa.array(lead)).to_pylist(), n[lead]
-            found = []
+            marks, sizes, label = t["mark"].take(pa.array(lead)).to_pylist(), n[lead], component[lead]
+            found, costs = [np.zeros((2, 0), np.int64)], [np.zeros(0)]
             for a, b in _pairs(bounds):
                 good = (component[a] != component[b]) & _may(n[a], n[b], percent) & (~split[a] | (chunk[a] != chunk[b]))
                 x, y = at[a[good]], at[b[good]]
                 both = np.unique(np.minimum(x, y) * len(names) + np.maximum(x, y))  # once, however many hubs they share here
                 x, y = both // max(1, len(names)), both % max(1, len(names))
-                good = _close(marks, sizes, x, y, percent)
-                found.append((x[good], y[good]))
-            x, y = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
-            yield pa.record_batch([pa.array(names[x]), pa.array(names[y])], names=["a", "b"])
+                bits, most = differing(marks, x, y), distance(sizes[x], sizes[y], percent)
+                good = bits <= most
+                ends, cost = np.stack([x, y])[:, good], bits[good] / np.maximum(most[good], 1)
+                if not whole:
+                    keep = forest(ends, label, cost)
+                    ends, cost = ends[:, keep], cost[keep]
+                found.append(ends)
+                costs.append(cost)
+            ends, cost = np.concatenate(found, axis=1), np.concatenate(costs)
+            if not whole:
+                ends = ends[:, forest(ends, label, cost)]
+            yield pa.record_batch([pa.array(names[ends[0]]), pa.array(names[ends[1]])], names=["a", "b"])
 
     return each
 
 
-def _sift(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sketches don't exclude similarity; sketches are far smaller than the sets."""
-    one = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("mark").alias("ma"))
-    two = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("mark").alias("mb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "na", "ma", "b", "nb", "mb").mapInArrow(_sifter(percent), "a long, b long")
-
-
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets are similar enough."""
     one = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("held").alias("ha"))
@@ -339,18 +349,31 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _compare(store: Store, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The similar pairs: sketches first, then whole sets, of the nodes that are left only."""
-    pairs = store.write(_sift(pairs, sets, percent))
+    """The similar pairs, by whole sets of the nodes that are left only."""
     ends = store.write(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     few = F.broadcast(ends) if ends.count() <= SENT else ends
-    return _verify(pairs, store.write(sets.select("node", "n", "held").join(few, "node", "left_semi")), percent)
-
-
-def _apart(met: DataFrame, joined: DataFrame) -> DataFrame:
-    """sig, node, component of the signatures whose nodes are not all in one component yet."""
-    by = W.partitionBy("sig")
-    out = met.select("sig", "node").join(joined, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
-    return out.withColumn("least", F.min("component").over(by)).withColumn("most", F.max("component").over(by)).filter("least <> most").select("sig", "node", "component")
+    held = store.write(sets.select("node", "n", "held").join(few, "node", "left_semi"))
+    found = store.write(_verify(pairs, held, percent))
+    store.drop(ends, held)
+    return found
+
+
+def _met(store: Store, hubs: DataFrame, joined: DataFrame | None, sets: DataFrame, percent: int, whole: bool) -> DataFrame:
+    """Pairs of nodes of one hub (hub, node) that are in two components; see _finder."""
+    by = W.partitionBy("hub")
+    if joined is None:
+        apart = hubs.withColumn("component", F.col("node"))
+    else:
+        apart = hubs.join(joined, "node", "left").select("hub", "node", F.coalesce("component", "node").alias("component"))
+    apart = apart.withColumn("least", F.min("component").over(by)).withColumn("most", F.max("component").over(by)).withColumn("parts", F.ceil(F.count(F.lit(1)).over(by) / GROUP).cast("int"))
+    apart = apart.filter("least <> most")
+    apart = apart.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    apart = store.write(apart.select("hub", "node", "component", "chunk", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two")))
+    place = ["hub", "one", "two"]
+    sent = apart.join(sets.select("node", "n", "mark"), "node").repartition(*place).sortWithinPartitions(*place)
+    pairs = store.write(sent.select(*place, "node", "component", "n", "mark", "chunk").mapInArrow(_finder(percent, whole), "a long, b long").distinct())
+    store.drop(apart)
+    return pairs
 
 
 def _rarest(store: Store, signed: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -381,44 +404,30 @@ def link(docs: DataFrame, words: int, percent: int, store: Store) -> DataFrame:
     met = _rarest(store, docs.select("text").mapInArrow(_signer(words, percent), "sig long, node long"), nodes)
     store.release()
 
-    hubs = met.filter("node <> least").groupBy("node", "least").agg(F.count(F.lit(1)).alias("c"))
-    first = store.write(hubs.groupBy("node").agg(F.max(F.struct("c", "least")).alias("best")).select(F.col("node").alias("a"), F.col("best.least").alias("b")))
-    wanted = store.write(met.select("node").distinct().join(nodes, "node").select("node", F.col("one.doc_id").alias("id"), "one.th"))
+    hubs = store.write(met.groupBy(F.col("least").alias("hub"), "node").agg(F.count(F.lit(1)).alias("c")))
+    store.drop(met)
+    wanted = store.write(hubs.select("node").distinct().join(nodes, "node").select("node", F.col("one.doc_id").alias("id"), "one.th"))
     few = F.broadcast(wanted) if wanted.count() <= SENT else wanted
     texts = hashed.join(few, hashed["doc_id"].eqNullSafe(wanted["id"]) & (hashed["th"] == wanted["th"])).select("node", "text")
     sets = store.write(texts.mapInArrow(_keeper(words), "node long, n long, held array<long>, mark binary"))
     store.release()
 
-    links = store.write(_compare(store, first, sets, percent))
-    joined = components(store, links)
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    by, own = W.partitionBy("sig"), W.partitionBy("node")
-    for turn in range(ROUNDS):
-        apart = store.write(_apart(met, joined))
-        store.drop(met)
-        met = apart
-        near = met.withColumn("hub", F.min(F.struct("component", "node")).over(by)).filter(F.col("component") != F.col("hub.component"))
-        near = near.groupBy("node", F.col("hub.node").alias("hub")).agg(F.count(F.lit(1)).alias("c"))
-        near = near.withColumn("r", F.row_number().over(own.orderBy(F.desc("c"), "hub"))).withColumn("n", F.count(F.lit(1)).over(own))
-        best = near.filter(F.col("r") == F.least(F.lit(turn + 2), F.col("n")))  # the first was tried before
-        best = store.write(best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
-        got = store.write(_compare(store, best, sets, percent))
-        tried = store.write(tried.unionByName(best))
-        if got.isEmpty():
-            break
-        joined = components(store, joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(got))
-    apart = _apart(met, joined).withColumn("hub", F.min(F.struct("component", "node")).over(by)["node"]).select("hub", "node", "component").distinct()
-    apart = apart.withColumn("parts", F.ceil(F.count(F.lit(1)).over(W.partitionBy("hub")) / GROUP).cast("int"))
-    apart = apart.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    apart = store.write(apart.select("hub", "node", "component", "chunk", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two")))
-    place = ["hub", "one", "two"]
-    sent = apart.join(sets.select("node", "n", "mark"), "node").repartition(*place).sortWithinPartitions(*place)
-    rest = sent.select(*place, "node", "component", "n", "mark", "chunk").mapInArrow(_finder(percent), "a long, b long").distinct()
-    rest = store.write(rest.join(tried, ["a", "b"], "left_anti"))
-    more = store.write(_compare(store, rest, sets, percent))
-    if not more.isEmpty():
-        joined = components(store, joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    store.drop(met, sets)
+    best = W.partitionBy("node").orderBy(F.desc("c"), "hub")
+    first = hubs.filter("hub <> node").withColumn("r", F.row_number().over(best)).filter("r = 1").select("hub", "node")
+    first = first.unionByName(first.select("hub", F.col("hub").alias("node")).distinct())
+    hubs_at, hubs, joined, tried = hubs, hubs.select("hub", "node"), None, None
+    for turn in range(ROUNDS + 1):
+        whole = turn == ROUNDS
+        pairs = _met(store, hubs if turn else first, joined, sets, percent, whole)
+        fresh = pairs if tried is None else store.write(pairs.join(tried, ["a", "b"], "left_anti"))
+        got = _compare(store, fresh, sets, percent)
+        if joined is None:
+            joined = components(store, got)
+        elif not got.isEmpty():
+            joined = components(store, joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(got))
+        tried = fresh if tried is None else store.write(tried.unionByName(fresh))
+        store.release()
+    store.drop(hubs_at, sets)
     ends = store.write(nodes.select("node", "least").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")))
     least = ends.groupBy("component").agg(F.min("least").alias("component_id"))
     named = ends.join(least, "component").select("node", "component", "component_id")

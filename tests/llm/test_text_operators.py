@@ -230,7 +230,31 @@ def test_sketches_differ_in_no_more_bits_than_sets():
     assert jaccard.differing([], np.zeros(0, int), np.zeros(0, int)).size == 0
 
 
-@pytest.mark.parametrize("sent", [0, 1 << 20])
+def test_forest_joins_what_the_edges_join():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        n, m = int(rng.integers(2, 30)), int(rng.integers(0, 60))
+        ends, label, cost = rng.integers(0, n, (2, m)), rng.integers(0, n, n) * 7, rng.integers(0, 9, m) / 3
+        keep = jaccard.forest(ends, label, cost)
+
+        def joined(edges, label=label):
+            root = {int(x): int(x) for x in label}
+            weight = 0
+            for a, b, c in edges:
+                x, y = root[int(label[a])], root[int(label[b])]
+                if x != y:
+                    weight += c
+                    root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
+            return root, weight
+
+        rows = list(zip(*ends.tolist(), cost.tolist(), strict=True))
+        best = joined(sorted(rows, key=lambda r: r[2]))
+        assert joined([rows[i] for i in keep])[0] == best[0]
+        assert abs(sum(cost[keep]) - best[1]) < 1e-9
+        assert len(keep) == len(set(label.tolist())) - len(set(best[0].values()))
+
+
+@pytest.mark.parametrize("sent", [0])
 def test_jaccard_groups_in_chunks(spark, monkeypatch, sent):
     """Many texts that share most signatures and are just not similar, in groups of more than one chunk; both ways to join."""
     monkeypatch.setattr(jaccard, "GROUP", 8)
