@@ -169,37 +169,57 @@ def overlap_effect(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.when(arms, F.sum(term) / F.sum(h)).otherwise(F.lit(float("nan"))).alias("theta"), n.alias("n"), F.sum("treated").alias("n_treated"), F.avg(h).alias("mean_h"), (F.sum(h) * F.sum(h) / F.sum(h * h)).alias("ess"))
 
 
+def _usable(estimates: DataFrame) -> DataFrame:
+    """Estimates with a finite theta and se and positive degrees of freedom."""
+    infinite = F.lit(float("inf"))
+    return estimates.filter((F.abs("theta") < infinite) & (F.abs("se") < infinite) & (F.col("df") > 0) & ~F.isnan("df"))
+
+
 def rubin(estimates: DataFrame, by: list[str]) -> DataFrame:
-    """by, theta, se, df of several estimates (theta, se, df) of one thing, within and between; Barnard-Rubin degrees."""
+    """by, theta, se, df of several usable estimates (theta, se, df) of one thing, within and between; Barnard-Rubin degrees.
+
+    NaN for groups without a usable estimate (but degrees 0, the mark of one cluster, if all have it); one
+    estimate keeps its degrees. Without a spread between
+    estimates the degrees are the observed-data ones alone; infinite degrees leave those of the spread.
+    """
     r = F.count(F.lit(1))
     mean, within = F.avg("theta"), F.avg(F.col("se") * F.col("se"))
     between = F.when(r > 1, F.var_samp("theta")).otherwise(0.0)
-    got = estimates.groupBy(*by).agg(r.alias("r"), mean.alias("theta"), within.alias("u"), between.alias("b"), F.min("df").alias("nu"))
+    got = _usable(estimates).groupBy(*by).agg(r.alias("r"), mean.alias("theta"), within.alias("u"), between.alias("b"), F.min("df").alias("nu"))
     total = F.col("u") + (1 + 1 / F.col("r")) * F.col("b")
-    lam = (1 + 1 / F.col("r")) * F.col("b") / total
+    lam = F.when(total > 0, (1 + 1 / F.col("r")) * F.col("b") / total).otherwise(0.0)
     old = (F.col("r") - 1) / (lam * lam)
-    seen = (F.col("nu") + 1) / (F.col("nu") + 3) * F.col("nu") * (1 - lam)
-    df = F.when(F.col("b") > 0, 1 / (1 / old + 1 / seen)).otherwise(F.col("nu"))
-    return got.select(*by, "theta", F.sqrt(total).alias("se"), df.alias("df"))
+    infinite = F.col("nu") == float("inf")
+    seen = F.when(infinite, F.col("nu")).otherwise((F.col("nu") + 1) / (F.col("nu") + 3) * F.col("nu") * (1 - lam))
+    both = F.when(infinite, old).otherwise(old * seen / (old + seen))
+    df = F.when(F.col("r") < 2, F.col("nu")).when(lam > 0, both).otherwise(seen)
+    out = got.select(*by, "theta", F.sqrt(total).alias("se"), df.alias("df"))
+    none = F.lit(float("nan"))
+    groups = estimates.groupBy(*by).agg(F.when((F.min("df") == 0) & (F.max("df") == 0), 0.0).otherwise(none).alias("lone"))
+    return groups.join(out, by, "left").select(*by, F.coalesce("theta", none).alias("theta"), F.coalesce("se", none).alias("se"), F.coalesce("df", "lone").alias("df"))
 
 
 def abf_average(estimates: DataFrame, by: list[str], scale: float = 10.0) -> DataFrame:
-    """by, theta, se, df averaged with Wakefield weights over estimates of positive se.
+    """by, theta, se, df averaged with Wakefield weights over usable estimates of positive se.
 
-    Prior variance scale^2 times the upper median of se^2; weights exp(log BF - max).
+    Prior variance W = scale^2 times the upper median of se^2, shrinkage W / (se^2 + W); weights
+    exp(log BF - max). One estimate is itself; a group without any is combined by rubin().
     """
     from .stats import upper_median_by
 
-    ok = estimates.filter("se > 0 AND NOT isnan(theta)").withColumn("v", F.col("se") * F.col("se"))
+    ok = _usable(estimates).filter("se > 0").withColumn("v", F.col("se") * F.col("se"))
     met = ok.join(upper_median_by(ok, by, "v", "vm"), by)
-    r = F.col("v") / (F.col("v") + scale * scale * F.col("vm"))
+    prior = scale * scale * F.col("vm")
+    r = prior / (F.col("v") + prior)
     z2 = F.col("theta") * F.col("theta") / F.col("v")
-    met = met.withColumn("lbf", 0.5 * F.log1p(-r) + 0.5 * z2 * r)
+    met = met.withColumn("lbf", 0.5 * F.log(F.col("v") / (F.col("v") + prior)) + 0.5 * z2 * r)
     w = W.partitionBy(*by)
     met = met.withColumn("w", F.exp(F.col("lbf") - F.max("lbf").over(w)))
     met = met.withColumn("w", F.col("w") / F.sum("w").over(w)).withColumn("mean", F.sum(F.col("w") * F.col("theta")).over(w))
     gap = F.col("theta") - F.col("mean")
-    return met.groupBy(*by).agg(F.first("mean").alias("theta"), F.sqrt(F.sum(F.col("w") * (F.col("v") + gap * gap))).alias("se"), (1 / F.sum(F.col("w") / F.col("df"))).alias("df"))
+    got = met.groupBy(*by).agg(F.first("mean").alias("theta"), F.sqrt(F.sum(F.col("w") * (F.col("v") + gap * gap))).alias("se"), F.sum(F.col("w") / F.col("df")).alias("d"))
+    got = got.select(*by, "theta", "se", F.when(F.col("d") > 0, 1 / F.col("d")).otherwise(float("inf")).alias("df"))
+    return got.unionByName(rubin(estimates.join(got.select(*by), by, "left_anti"), by))
 
 
 def tile_jackknife(rows: DataFrame, by: list[str], tile: str, num: str, den: str) -> DataFrame:
@@ -274,12 +294,27 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
 
 
 def t_two_sided(t: float, df: float) -> float:
-    """Two-sided p of Student's t; NaN stays NaN."""
+    """Two-sided p of Student's t, the normal's for infinite degrees; NaN stays NaN."""
     if math.isnan(t) or math.isnan(df) or df <= 0:
         return float("nan")
+    if math.isinf(df):
+        return 2 * upper_normal_p(abs(t))
     return incomplete_beta(df / 2, 0.5, df / (df + t * t))
 
 
+def t_crit_975(df: float) -> float:
+    """The upper 2.5 % point of Student's t, the normal's for infinite degrees; NaN for none."""
+    if math.isnan(df) or df <= 0:
+        return float("nan")
+    low, high = 0.0, 1.0
+    while t_two_sided(high, df) > 0.05:
+        low, high = high, 2 * high
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if t_two_sided(middle, df) > 0.05 else (low, middle)
+    return (low + high) / 2
+
+
 def with_p(df: DataFrame, t: str, degrees: str, out: str) -> DataFrame:
     """A column of two-sided p values, computed in Arrow batches."""
 

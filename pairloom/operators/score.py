@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -192,21 +193,23 @@ def paired(rows: DataFrame) -> DataFrame:
 
 
 def sign_test(deltas: list[float]) -> float:
-    """Two-sided exact sign test without zeros; NaN if none is left."""
+    """Two-sided exact sign test without zeros; 1 if none is left."""
     d = [x for x in deltas if x]
     if not d:
-        return float("nan")
+        return 1.0
     k = min(sum(x > 0 for x in d), sum(x < 0 for x in d))
     return min(1.0, 2 * sum(math.comb(len(d), i) for i in range(k + 1)) / 2 ** len(d))
 
 
 def wilcoxon(deltas: list[float]) -> float:
-    """Two-sided exact signed-rank test, midranks for ties, by counting subsets of doubled ranks."""
+    """Two-sided exact signed-rank test, midranks for ties, by counting subsets of doubled ranks; NaN below two differences."""
     d = sorted((x for x in deltas if x), key=abs)
-    if not d:
+    if len(d) < 2:
         return float("nan")
-    size = [abs(x) for x in d]
-    ranks = [size.index(s) + 1 + size.index(s) + size.count(s) for s in size]  # doubled midranks
+    ranks: list[int] = []  # doubled midranks
+    for _, run in itertools.groupby(d, key=abs):
+        n = len(list(run))
+        ranks += [2 * len(ranks) + n + 1] * n
     ways = {0: 1}
     for r in ranks:
         new = dict(ways)

@@ -57,11 +57,15 @@ def by_adjust(df: DataFrame, by: list[str], p: str, out: str) -> DataFrame:
 
 
 def clustered(df: DataFrame, by: list[str], cluster: str, value: str) -> DataFrame:
-    """by, sd, effective: the SD of a sum over clusters, sqrt(sum S^2 C / (C - 1)), and 3 (sum S^2)^2 / sum S^4 within [2, C]."""
+    """by, sd, effective: the SD of a sum over the C clusters whose own sum S is not zero, and how many of them it rests on.
+
+    sqrt(sum S^2 C / (C - 1)), unscaled below two clusters; 3 (sum S^2)^2 / sum S^4 within [2, C], NaN below two.
+    """
     s = df.groupBy(*by, cluster).agg(F.sum(value).alias("s"))
-    c, s2, s4 = F.count(F.lit(1)), F.sum(F.col("s") * F.col("s")), F.sum(F.pow("s", F.lit(4.0)))
-    sd = F.when(c > 1, F.sqrt(s2 * c / (c - 1))).otherwise(F.lit(float("nan")))
-    return s.groupBy(*by).agg(sd.alias("sd"), F.greatest(F.lit(2.0), F.least(c.cast("double"), 3 * s2 * s2 / s4)).alias("effective"))
+    c, s2, s4 = F.count(F.when(F.col("s") != 0, 1)), F.sum(F.col("s") * F.col("s")), F.sum(F.pow("s", F.lit(4.0)))
+    sd = F.when(c > 1, F.sqrt(s2 * c / (c - 1))).otherwise(F.sqrt(s2))
+    rests = F.when((s4 > 0) & (s4 < float("inf")), F.greatest(F.lit(2.0), F.least(c.cast("double"), 3 * s2 * s2 / s4))).otherwise(c.cast("double"))
+    return s.groupBy(*by).agg(sd.alias("sd"), F.when(c > 1, rests).otherwise(F.lit(float("nan"))).alias("effective"))
 
 
 def jackknife_se(df: DataFrame, by: list[str], value: str) -> DataFrame:

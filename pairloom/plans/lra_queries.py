@@ -159,7 +159,7 @@ def g38(s, d):
     return xy(s, d).agg(F.round(F.corr("x", "y"), 7).alias("r"), F.round(F.avg(F.when(F.col("x") > 10, F.col("y"))) - F.avg(F.when(F.col("x") <= 10, F.col("y"))), 6).alias("contrast"))
 
 
-@query("g39_clustered_sd", sql(CELLS, COUNTS, XY, "t AS (SELECT kind, section, sum(xy.x - 10) AS s FROM xy JOIN cells USING (cell) GROUP BY 1, 2)", "SELECT kind, round(sqrt(sum(s * s) * count(*) / (count(*) - 1)), 5) AS sd, round(greatest(2, least(count(*), 3 * sum(s * s) * sum(s * s) / sum(power(s, 4)))), 5) AS effective FROM t GROUP BY 1"))
+@query("g39_clustered_sd", sql(CELLS, COUNTS, XY, "t AS (SELECT kind, section, sum(xy.x - 10) AS s FROM xy JOIN cells USING (cell) GROUP BY 1, 2)", "SELECT kind, round(sqrt(sum(s * s) * CASE WHEN count(*) FILTER (s <> 0) > 1 THEN count(*) FILTER (s <> 0) / (count(*) FILTER (s <> 0) - 1) ELSE 1 END), 5) AS sd, CASE WHEN count(*) FILTER (s <> 0) > 1 THEN round(greatest(2, least(count(*) FILTER (s <> 0), 3 * sum(s * s) * sum(s * s) / sum(power(s, 4)))), 5) ELSE 'NaN'::DOUBLE END AS effective FROM t GROUP BY 1"))
 def g39(s, d):
     out = S.clustered(xy(s, d).withColumn("v", F.col("x") - 10), ["kind"], "section", "v")
     return out.select("kind", F.round("sd", 5).alias("sd"), F.round("effective", 5).alias("effective"))
@@ -268,13 +268,13 @@ def estimates(s, d):
     return V.table(s, d, "part").select(F.col("p_brand").alias("pair"), (F.col("p_retailprice") / 1000).alias("theta"), (0.05 + (F.col("p_partkey") % 17) / 50.0).alias("se"), (10.0 + F.col("p_size")).alias("df"))
 
 
-@query("m35_rubin", sql(ESTIMATES, "g AS (SELECT pair, count(*) AS r, avg(theta) AS theta, avg(se * se) AS u, var_samp(theta) AS b, min(df) AS nu FROM e GROUP BY 1), t AS (SELECT *, u + (1 + 1 / r) * b AS t, (1 + 1 / r) * b / (u + (1 + 1 / r) * b) AS lam FROM g)", "SELECT pair, round(theta, 7) AS theta, round(sqrt(t), 7) AS se, round(1 / (lam * lam / (r - 1) + 1 / ((nu + 1) / (nu + 3) * nu * (1 - lam))), 5) AS df FROM t"))
+@query("m35_rubin", sql(ESTIMATES, "g AS (SELECT pair, count(*) AS r, avg(theta) AS theta, avg(se * se) AS u, var_samp(theta) AS b, min(df) AS nu FROM e GROUP BY 1), t AS (SELECT *, u + (1 + 1 / r) * b AS t, (1 + 1 / r) * b / (u + (1 + 1 / r) * b) AS lam FROM g)", "SELECT pair, round(theta, 7) AS theta, round(sqrt(t), 7) AS se, round(CASE WHEN r < 2 THEN nu WHEN lam > 0 THEN 1 / (lam * lam / (r - 1) + 1 / ((nu + 1) / (nu + 3) * nu * (1 - lam))) ELSE (nu + 1) / (nu + 3) * nu END, 5) AS df FROM t"))
 def m35(s, d):
     out = L.rubin(estimates(s, d), ["pair"])
     return out.select("pair", F.round("theta", 7).alias("theta"), F.round("se", 7).alias("se"), F.round("df", 5).alias("df"))
 
 
-@query("m36_abf_average", sql(ESTIMATES, "m AS (SELECT pair, list_sort(list(se * se))[count(*) // 2 + 1] AS vm FROM e GROUP BY 1), l AS (SELECT *, se * se AS v, (se * se) / (se * se + 100 * vm) AS r FROM e JOIN m USING (pair)), b AS (SELECT *, 0.5 * ln(1 - r) + 0.5 * theta * theta / v * r AS lbf FROM l), x AS (SELECT *, exp(lbf - max(lbf) OVER (PARTITION BY pair)) AS w0 FROM b), w AS (SELECT *, w0 / sum(w0) OVER (PARTITION BY pair) AS w FROM x), a AS (SELECT *, sum(w * theta) OVER (PARTITION BY pair) AS mean FROM w)", "SELECT pair, round(any_value(mean), 6) AS theta, round(sqrt(sum(w * (v + (theta - mean) * (theta - mean)))), 6) AS se, round(1 / sum(w / df), 5) AS df FROM a GROUP BY 1"))
+@query("m36_abf_average", sql(ESTIMATES, "m AS (SELECT pair, list_sort(list(se * se))[count(*) // 2 + 1] AS vm FROM e GROUP BY 1), l AS (SELECT *, se * se AS v, (100 * vm) / (se * se + 100 * vm) AS r FROM e JOIN m USING (pair)), b AS (SELECT *, 0.5 * ln(1 - r) + 0.5 * theta * theta / v * r AS lbf FROM l), x AS (SELECT *, exp(lbf - max(lbf) OVER (PARTITION BY pair)) AS w0 FROM b), w AS (SELECT *, w0 / sum(w0) OVER (PARTITION BY pair) AS w FROM x), a AS (SELECT *, sum(w * theta) OVER (PARTITION BY pair) AS mean FROM w)", "SELECT pair, round(any_value(mean), 6) AS theta, round(sqrt(sum(w * (v + (theta - mean) * (theta - mean)))), 6) AS se, round(1 / sum(w / df), 5) AS df FROM a GROUP BY 1"))
 def m36(s, d):
     out = L.abf_average(estimates(s, d), ["pair"])
     return out.select("pair", F.round("theta", 6).alias("theta"), F.round("se", 6).alias("se"), F.round("df", 5).alias("df"))

@@ -93,8 +93,9 @@ def test_ranking_scores(spark):
 
 
 def test_exact_tests():
-    assert score.sign_test([1, 1, 1, -1, 0]) == 0.625 and math.isnan(score.sign_test([0, 0]))
-    assert score.wilcoxon([1, 2, 3, 4, 5]) == 0.0625 and math.isnan(score.wilcoxon([]))
+    assert score.sign_test([1, 1, 1, -1, 0]) == 0.625 and score.sign_test([0, 0]) == 1
+    assert score.wilcoxon([1, 2, 3, 4, 5]) == 0.0625 and math.isnan(score.wilcoxon([])) and math.isnan(score.wilcoxon([3, 0]))
+    assert score.wilcoxon([1, -1, 2]) == 0.75 and score.wilcoxon([2, 2, 2]) == 0.25
     assert abs(score.wilcoxon([1, -1]) - 1) < 1e-12
 
 
@@ -202,6 +203,42 @@ def test_effect_with_known_nuisances_and_t(spark):
     assert math.isnan(lra.overlap_effect(df.filter("treated = 1"), ["pair"]).first().theta)
     assert abs(lra.t_two_sided(2.228, 10) - 0.05) < 1e-4 and abs(lra.t_two_sided(1.96, 1e7) - 0.05) < 1e-4
     assert math.isnan(lra.t_two_sided(float("nan"), 5))
+    inf = float("inf")
+    assert abs(lra.t_two_sided(-1.959964, inf) - 0.05) < 1e-6 and lra.t_two_sided(inf, 4) == 0
+    assert abs(lra.t_crit_975(10) - 2.228139) < 1e-5 and abs(lra.t_crit_975(inf) - 1.959964) < 1e-6 and abs(lra.t_crit_975(1) - 12.7062) < 1e-3
+    assert math.isnan(lra.t_crit_975(0))
+
+
+def test_estimates_are_combined(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [("two", 1.0, 0.5, 20.0), ("two", 2.0, 0.5, 30.0), ("two", nan, 0.5, 30.0), ("two", 9.0, 0.5, nan), ("two", 9.0, inf, 5.0), ("same", 1.0, 0.5, 20.0), ("same", 1.0, 0.5, 40.0)]
+    rows += [("one", 3.0, 0.25, 7.0), ("none", 1.0, 0.5, nan), ("none", 1.0, nan, 5.0), ("exact", 1.0, 0.0, 6.0), ("exact", 1.0, 0.0, 9.0), ("wide", 1.0, 0.5, inf), ("wide", 2.0, 0.5, inf), ("lone", 1.0, 0.5, 0.0), ("lone", 2.0, 0.5, 0.0)]
+    df = spark.createDataFrame(rows, "pair string, theta double, se double, df double")
+    got = {r.pair: r for r in lra.rubin(df, ["pair"]).collect()}
+    lam = 0.75 / (0.25 + 0.75)  # within 0.25, between 0.5, times 1.5
+    seen = 21 / 23 * 20 * (1 - lam)
+    old = 1 / lam**2
+    assert got["two"].theta == 1.5 and abs(got["two"].se - 1) < 1e-12 and abs(got["two"].df - old * seen / (old + seen)) < 1e-12
+    assert (got["same"].theta, got["same"].se) == (1.0, 0.5) and abs(got["same"].df - 21 / 23 * 20) < 1e-12
+    assert tuple(got["one"])[1:] == (3.0, 0.25, 7.0) and all(math.isnan(x) for x in tuple(got["none"])[1:])
+    assert tuple(got["exact"])[1:3] == (1.0, 0.0) and abs(got["wide"].df - old) < 1e-12
+
+    avg = {r.pair: r for r in lra.abf_average(df, ["pair"]).collect()}
+    shrink = 100 * 0.25 / (0.25 + 100 * 0.25)
+    bf = [math.exp(0.5 * math.log(1 - shrink) + 0.5 * (t / 0.5) ** 2 * shrink) for t in (1.0, 2.0)]
+    w = [b / sum(bf) for b in bf]
+    theta = w[0] + 2 * w[1]
+    assert abs(avg["two"].theta - theta) < 1e-12 and abs(avg["two"].se ** 2 - sum(x * (0.25 + (t - theta) ** 2) for x, t in zip(w, (1, 2), strict=True))) < 1e-12
+    assert abs(avg["two"].df - 1 / (w[0] / 20 + w[1] / 30)) < 1e-9 and tuple(avg["one"])[1:] == (3.0, 0.25, 7.0)
+    assert math.isnan(avg["none"].theta) and avg["exact"].theta == 1 and avg["exact"].se == 0 and len(avg) == 7
+    assert avg["wide"].df == inf and got["lone"].df == 0 and math.isnan(got["lone"].theta)
+
+
+def test_clustered_counts_clusters_with_a_sum(spark):
+    rows = [("a", 1, 2.0), ("a", 2, -1.0), ("a", 3, 1.0), ("a", 3, -1.0), ("b", 1, -3.0), ("b", 2, 0.0), ("c", 1, 0.0)]
+    got = {r.k: r for r in stats.clustered(spark.createDataFrame(rows, "k string, c int, v double"), ["k"], "c", "v").collect()}
+    assert abs(got["a"].sd - math.sqrt(5 * 2)) < 1e-12 and got["a"].effective == 2
+    assert got["b"].sd == 3 and math.isnan(got["b"].effective) and got["c"].sd == 0 and math.isnan(got["c"].effective)
 
 
 def test_cross_fit_recovers_a_planted_effect(spark):
