@@ -1,18 +1,21 @@
 """Personal data: expressions propose spans, validators confirm them, words nearby adjust the score.
 
 Kinds: email, ip, card, phone (the base kinds; their rules are fixed and spans found by them always
-stay) and iban (mod-97), which is this operator's own. Offsets are code points, the end exclusive.
-Each kind is matched leftmost and without overlap; a match that its validator refuses is dropped,
-and the search goes on behind it. The patterns are written so that the scan is linear in the text:
-an e-mail is sought from its @, digit runs are taken whole, and a text without a kind's
-characters is not scanned for it.
+stay), and this operator's own: iban (the country's length, mod-97) and secret (a run of 20 or more
+letters, digits, _ and - that has at least 4 digits and a letter: a key or token). Offsets are code
+points, the end exclusive. Each kind is matched leftmost and without overlap; a base match that its
+validator refuses is dropped, and the search goes on behind it. The patterns are written so that the
+scan is linear in the text: an e-mail is sought from its @, digit runs are taken whole, and a text
+without a kind's characters is not scanned for it.
 
 score: a base per kind, raised by 0.2 if one of the kind's context words stands within WINDOW
-characters, lowered by 0.2 if a word that speaks against it does. No span is dropped for its score (an
-iban has passed its check digits); op10_pii returns the scores in the column scores, in the order of spans.
+characters, lowered by 0.3 if a word that speaks against it does. The operator's own spans stay if their
+score is KEEP or more: an iban goes if only a contrary word is near, a secret stays only with a
+supporting word. op10_pii returns the scores in the column scores, in the order of spans.
 
-Null and empty texts have no spans. Repeated rows stay repeated; extra columns are not read; an
-empty table gives no rows.
+Null and empty texts have no spans; very long texts and runs are scanned whole. Repeated rows stay
+repeated; spans of several kinds that begin together are ordered by kind; extra columns are not
+read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,22 +29,32 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, table
 
-KINDS = ["email", "ip", "card", "phone", "iban"]
+KINDS = ["email", "ip", "card", "phone", "iban", "secret"]
 BASE = 4
-WINDOW = 40
+WINDOW, KEEP = 40, 0.5
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _LONG = re.compile(r"[0-9](?:[ -]?[0-9]){11}")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+")
+# The length of an IBAN by country.
+_LENGTHS = """
+AD 24, AE 23, AL 28, AT 20, AZ 28, BA 20, BE 16, BG 22, BH 22, BI 27, BR 29, BY 28, CH 21, CR 22, CY 28, CZ 24, DE 22, DJ 27,
+DK 18, DO 28, EE 20, EG 29, ES 24, FI 18, FK 18, FO 18, FR 27, GB 22, GE 22, GI 23, GL 18, GR 27, GT 28, HR 21, HU 28, IE 22,
+IL 23, IQ 23, IS 26, IT 27, JO 30, KW 30, KZ 20, LB 28, LC 32, LI 21, LT 20, LU 20, LV 21, LY 25, MC 27, MD 24, ME 22, MK 19,
+MN 20, MR 27, MT 31, MU 30, NI 28, NL 18, NO 15, OM 23, PK 24, PL 28, PS 29, PT 25, QA 29, RO 24, RS 22, RU 33, SA 24, SC 31,
+SD 18, SE 24, SI 19, SK 24, SM 27, SO 23, ST 25, SV 28, TL 23, TN 24, TR 26, UA 29, VA 22, VG 24, XK 20
+"""
+_REST = {c: re.compile(r"(?: ?[A-Z0-9]){%d}(?![A-Za-z0-9])" % (int(n) - 4)) for c, n in (x.split() for x in _LENGTHS.split(","))}
 #: Context words that raise or lower a kind's score.
-FOR = {"email": "mail contact write", "ip": "ip address server host", "card": "card visa credit payment", "phone": "call phone tel mobile fax", "iban": "iban bank account transfer"}
-AGAINST = {"email": "example noreply", "ip": "version release", "card": "order ticket serial", "phone": "order serial version", "iban": "serial part product"}
+FOR = {"email": "mail contact write", "ip": "ip address server host", "card": "card visa credit payment", "phone": "call phone tel mobile fax", "iban": "iban bank account transfer", "secret": "token secret key password passwd auth credential"}
+AGAINST = {"email": "example noreply", "ip": "version release", "card": "order ticket serial", "phone": "order serial version", "iban": "serial part product", "secret": "commit checksum digest revision"}
 _FOR = {k: re.compile(r"\b(?:%s)" % v.replace(" ", "|"), re.I) for k, v in FOR.items()}
 _AGAINST = {k: re.compile(r"\b(?:%s)" % v.replace(" ", "|"), re.I) for k, v in AGAINST.items()}
-SCORE = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.7}
+SCORE = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.7, "secret": 0.4}
 
 
 def luhn(digits: str) -> bool:
@@ -73,7 +86,7 @@ def emails(text: str) -> list[tuple[int, int]]:
 
 
 def ips(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    return [m.span() for m in _IP.finditer(text) if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m[0].split(".")))]
 
 
 def cards(text: str) -> list[tuple[int, int]]:
@@ -92,20 +105,26 @@ def phones(text: str) -> list[tuple[int, int]]:
 
 
 def ibans(text: str) -> list[tuple[int, int]]:
-    out = []
-    for m in _IBAN.finditer(text):
-        plain = m[0].replace(" ", "")
-        if 15 <= len(plain) <= 34 and mod97(plain):
-            out.append(m.span())
+    out, at = [], 0
+    while m := _IBAN.search(text, at):
+        at = m.end()
+        rest = _REST.get(m[0][:2])
+        if rest and (tail := rest.match(text, at)) and mod97((m[0] + tail[0]).replace(" ", "")):
+            at = tail.end()
+            out.append((m.start(), at))
     return out
 
 
-_FIND = {"email": emails, "ip": ips, "card": cards, "phone": phones, "iban": ibans}
+def secrets(text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in _SECRET.finditer(text) if sum(c in "0123456789" for c in m[0]) >= 4 and any(c.isalpha() for c in m[0])]
+
+
+_FIND = {"email": emails, "ip": ips, "card": cards, "phone": phones, "iban": ibans, "secret": secrets}
 
 
 def score(text: str, kind: str, a: int, z: int) -> float:
     near = f"{text[max(0, a - WINDOW) : a]} \n {text[z : z + WINDOW]}"
-    return round(SCORE[kind] + 0.2 * bool(_FOR[kind].search(near)) - 0.2 * bool(_AGAINST[kind].search(near)), 3)
+    return round(SCORE[kind] + 0.2 * bool(_FOR[kind].search(near)) - 0.3 * bool(_AGAINST[kind].search(near)), 3)
 
 
 def find(text: str | None) -> list[tuple[int, int, int, float]]:
@@ -115,7 +134,9 @@ def find(text: str | None) -> list[tuple[int, int, int, float]]:
     out = []
     for k, kind in enumerate(KINDS):
         for a, z in _FIND[kind](text):
-            out.append((a, k, z, score(text, kind, a, z)))
+            points = score(text, kind, a, z)
+            if k < BASE or points >= KEEP:
+                out.append((a, k, z, points))
     return sorted(out)
 
 
@@ -157,7 +178,7 @@ def plain_spans(text: str | None) -> list[tuple[str, int, int]]:
     for k, (kind, pattern) in enumerate([("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]):
         for m in re.finditer(pattern, text):
             digits = re.sub("[^0-9]", "", m[0])
-            ok = {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")), "card": 12 <= len(digits) <= 19 and kind == "card" and luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+            ok = {"email": True, "ip": kind == "ip" and all(int(p.lstrip("0")[:4] or "0") <= 255 for p in m[0].split(".")), "card": 12 <= len(digits) <= 19 and kind == "card" and luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
             if ok:
                 out.append((m.start(), k, kind, m.end()))
     return [(kind, a, z) for a, _, kind, z in sorted(out)]
