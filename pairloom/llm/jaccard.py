@@ -21,8 +21,9 @@ Only components are wanted, so pairs are not listed:
    sets do. So a similarity a little below the asked one is excluded;
 4. in ROUNDS rounds (the first over each node's best hub, the others over all) a spanning forest of the
    likeliest pairs leaves the task, is compared by whole sets, and those that are similar join
-   components; so groups of copies cost as many comparisons as nodes in a round;
-5. at last all pairs that are still apart and not excluded are compared.
+   components; so groups of copies cost as many comparisons as nodes in a round. A hub all of whose pairs
+   are in one component, excluded or in the forest is done and not looked at again;
+5. at last all pairs of the other hubs that are still apart and not excluded are compared.
 Every comparison that links is exact over whole sets.
 
 A document without words or text has an empty set: 0 shingles, linked with nothing, a component of
@@ -182,6 +183,15 @@ def differing(marks: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def folded(mark: bytes) -> bytes:
+    """A sketch of a quarter of the bits, 64 at least: it excludes less, and costs less to compare."""
+    words = np.frombuffer(mark, _U)
+    for _ in range(2):
+        if len(words) > 1:
+            words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words.tobytes()
+
+
 def _sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     out = []
     for _, run in kernel.runs(texts):
@@ -308,34 +318,47 @@ def forest(ends: np.ndarray, label: np.ndarray, cost: np.ndarray) -> np.ndarray:
 
 
 def _finder(percent: int, whole: bool):
-    """Pairs of one hub's nodes that are in two components and not excluded by size or sketch: all, or a forest of the likeliest."""
+    """Pairs of one hub's nodes that are in two components and not excluded by size or sketch: all, or a forest of the likeliest.
+
+    Beside a forest, the hubs (a, b null) of the pairs that it leaves out; each such pair meets again at one of them.
+    """
 
     def each(batches):
         for t, bounds in _groups(batches):
-            node_, component, n, chunk = (t[c].to_numpy() for c in ("node", "component", "n", "chunk"))
+            node_, component, n, chunk, hub = (t[c].to_numpy() for c in ("node", "component", "n", "chunk", "hub"))
             split = t["one"].to_numpy() != t["two"].to_numpy()
             names, at = np.unique(node_, return_inverse=True)
             lead = np.zeros(len(names), np.int64)
             lead[at] = np.arange(len(at))
             marks, sizes, label = t["mark"].take(pa.array(lead)).to_pylist(), n[lead], component[lead]
-            found, costs = [np.zeros((2, 0), np.int64)], [np.zeros(0)]
+            small = [folded(m) for m in marks]
+            found, costs, places, again = [np.zeros((2, 0), np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for a, b in _pairs(bounds):
                 good = (component[a] != component[b]) & _may(n[a], n[b], percent) & (~split[a] | (chunk[a] != chunk[b]))
-                x, y = at[a[good]], at[b[good]]
-                both = np.unique(np.minimum(x, y) * len(names) + np.maximum(x, y))  # once, however many hubs they share here
-                x, y = both // max(1, len(names)), both % max(1, len(names))
+                x, y, place = at[a[good]], at[b[good]], hub[a[good]]
+                good = differing(small, x, y) <= distance(sizes[x], sizes[y], percent)
+                x, y, place = x[good], y[good], place[good]
+                both, one = np.unique(np.minimum(x, y) * len(names) + np.maximum(x, y), return_index=True)  # once, however many hubs they share here
+                x, y, place = both // max(1, len(names)), both % max(1, len(names)), place[one]
                 bits, most = differing(marks, x, y), distance(sizes[x], sizes[y], percent)
                 good = bits <= most
-                ends, cost = np.stack([x, y])[:, good], bits[good] / np.maximum(most[good], 1)
+                ends, cost, place = np.stack([x, y])[:, good], bits[good] / np.maximum(most[good], 1), place[good]
                 if not whole:
                     keep = forest(ends, label, cost)
-                    ends, cost = ends[:, keep], cost[keep]
+                    again.append(np.unique(np.delete(place, keep)))
+                    ends, cost, place = ends[:, keep], cost[keep], place[keep]
                 found.append(ends)
                 costs.append(cost)
-            ends, cost = np.concatenate(found, axis=1), np.concatenate(costs)
+                places.append(place)
+            ends, cost, place = np.concatenate(found, axis=1), np.concatenate(costs), np.concatenate(places)
             if not whole:
-                ends = ends[:, forest(ends, label, cost)]
-            yield pa.record_batch([pa.array(names[ends[0]]), pa.array(names[ends[1]])], names=["a", "b"])
+                keep = forest(ends, label, cost)
+                again.append(np.delete(place, keep))
+                ends = ends[:, keep]
+            left = np.unique(np.concatenate(again))
+            none = [None] * len(left)
+            a, b = (pa.array([*names[e].tolist(), *none], pa.int64()) for e in ends)
+            yield pa.record_batch([a, b, pa.array([*[None] * ends.shape[1], *left.tolist()], pa.int64())], names=["a", "b", "hub"])
 
     return each
 
@@ -359,7 +382,7 @@ def _compare(store: Store, pairs: DataFrame, sets: DataFrame, percent: int) -> D
 
 
 def _met(store: Store, hubs: DataFrame, joined: DataFrame | None, sets: DataFrame, percent: int, whole: bool) -> DataFrame:
-    """Pairs of nodes of one hub (hub, node) that are in two components; see _finder."""
+    """a, b, hub: pairs of nodes of one hub (hub, node) that are in two components, and hubs to look at again; see _finder."""
     by = W.partitionBy("hub")
     if joined is None:
         apart = hubs.withColumn("component", F.col("node"))
@@ -371,7 +394,7 @@ def _met(store: Store, hubs: DataFrame, joined: DataFrame | None, sets: DataFram
     apart = store.write(apart.select("hub", "node", "component", "chunk", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two")))
     place = ["hub", "one", "two"]
     sent = apart.join(sets.select("node", "n", "mark"), "node").repartition(*place).sortWithinPartitions(*place)
-    pairs = store.write(sent.select(*place, "node", "component", "n", "mark", "chunk").mapInArrow(_finder(percent, whole), "a long, b long").distinct())
+    pairs = store.write(sent.select(*place, "node", "component", "n", "mark", "chunk").mapInArrow(_finder(percent, whole), "a long, b long, hub long").distinct())
     store.drop(apart)
     return pairs
 
@@ -418,7 +441,10 @@ def link(docs: DataFrame, words: int, percent: int, store: Store) -> DataFrame:
     hubs_at, hubs, joined, tried = hubs, hubs.select("hub", "node"), None, None
     for turn in range(ROUNDS + 1):
         whole = turn == ROUNDS
-        pairs = _met(store, hubs if turn else first, joined, sets, percent, whole)
+        seen = _met(store, hubs if turn else first, joined, sets, percent, whole)
+        pairs = seen.filter("a IS NOT NULL").select("a", "b")
+        if turn:  # the first round sees a part of each hub only
+            hubs = hubs.join(seen.filter("a IS NULL").select("hub"), "hub", "left_semi")
         fresh = pairs if tried is None else store.write(pairs.join(tried, ["a", "b"], "left_anti"))
         got = _compare(store, fresh, sets, percent)
         if joined is None:
