@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["url_rules", "chat", "pii", "toxicity", "quality", "mixing", "sharding", "vectors", "jaccard", "decontam", "repair", "spelling"]
+MODULES = ["url_rules", "chat", "pii", "toxicity", "quality", "mixing", "sharding", "vectors", "jaccard", "decontam", "repair", "spelling", "language"]
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _name in MODULES:
