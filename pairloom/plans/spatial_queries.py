@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import embed, graph, pool, spectrum
+from ..operators import embed, factors, graph, pool, spectrum
 from ..sources import views as V
 from ..sources.views import BOTH, CELLS, CONTACTS, COUNTS, sql
 from .registry import query
@@ -49,3 +49,13 @@ def m20(s, d):
     units, _, _ = embed.train(edges.select("unit", F.col("section").alias("batch")), counts, 4, 4)
     out = units.join(edges.select("unit", "a", "b"), "unit").select("a", "b", F.posexplode("row").alias("dim", "value"))
     return out.withColumn("value", F.round("value", 6))
+
+
+@query("m52_spatial_factors")
+def m52(s, d):
+    """Three factors of the log-normalised counts; loadings and whether the factor is active."""
+    matrix = _matrix(s, d)
+    log_det = spectrum.traces(spectrum.spectrum(matrix, small=2000), 1.0).agg(F.sum("log_det")).first()[0]
+    got = factors.fit(matrix, pool.normalised(V.counts(s, d)), 3, 1.0, 5, log_det=log_det)
+    rows = [(x, k, float(m), float(g), k in got.active()) for x, means, gammas in zip(got.features, got.weights.mean, got.weights.gamma, strict=True) for k, (m, g) in enumerate(zip(means, gammas, strict=True))]
+    return s.createDataFrame(rows, "feature string, factor int, loading double, inclusion double, active boolean")
