@@ -109,3 +109,58 @@ def eta_squared(df: DataFrame, by: list[str], group: str, value: str) -> DataFra
     total = q - s * s / n
     between = F.sum(F.col("s") * F.col("s") / F.col("n")) - s * s / n
     return g.groupBy(*by).agg(F.when(total > 1e-12, between / total).otherwise(0.0).alias("eta2"))
+
+
+#: Bins of one pass of order_statistics, and values of a bin that the driver sorts.
+BINS, SORTED = 4096, 200_000
+
+
+def order_statistics(values: DataFrame, ranks: list[int]) -> list[float]:
+    """The elements of the given ranks (from 0) of the one column v, without sorting the table: passes of histograms
+    close in on the ranks until a bin holds one value or few."""
+    out: dict[int, float] = {}
+
+    def within(low: float, high: float, first: int, own: list[int]) -> None:
+        inside = values.filter((F.col("v") >= low) & (F.col("v") <= high))
+        at = F.least(F.floor((F.col("v") - low) / ((high - low) / BINS)), F.lit(BINS - 1)).cast("int")
+        bins = sorted(tuple(r) for r in inside.groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("a"), F.max("v").alias("z")).collect())
+        few = []
+        for _, n, a, z in bins:
+            mine = [r for r in own if first <= r < first + n]
+            if mine and a == z:
+                out.update(dict.fromkeys(mine, a))
+            elif mine and n <= SORTED // 16:
+                few.append((a, z, first, mine))
+            elif mine:
+                within(a, z, first, mine)
+            first += n
+        for i in range(0, len(few), 16):
+            some = few[i : i + 16]
+            wanted = F.lit(False)
+            for a, z, _, _ in some:
+                wanted = wanted | ((F.col("v") >= a) & (F.col("v") <= z))
+            got = sorted(r[0] for r in inside.filter(wanted).select("v").collect())  # SORTED values at most
+            for a, z, start, mine in some:
+                held = [x for x in got if a <= x <= z]
+                out.update({r: held[r - start] for r in mine})
+
+    low, high, n = values.agg(F.min("v"), F.max("v"), F.count("v")).first()
+    if ranks and (min(ranks) < 0 or max(ranks) >= n):
+        raise ValueError("no such rank")
+    if ranks and low == high:
+        return [low] * len(ranks)
+    if ranks:
+        within(low, high, 0, sorted(set(ranks)))
+    return [out[r] for r in ranks]
+
+
+def quantiles(values: DataFrame, shares: tuple[float, ...]) -> list[float]:
+    """Quantiles of the column v, interpolated between neighbours (type 7); NaN and null left out."""
+    values = values.filter(F.col("v").isNotNull() & ~F.isnan("v")).select("v")
+    n = values.count()
+    if not n:
+        return [float("nan")] * len(shares)
+    places = [(n - 1) * q for q in shares]
+    ranks = [r for x in places for r in (int(x), min(int(x) + 1, n - 1))]
+    got = order_statistics(values, ranks)
+    return [got[2 * i] + (x - int(x)) * (got[2 * i + 1] - got[2 * i]) for i, x in enumerate(places)]

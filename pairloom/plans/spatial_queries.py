@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import embed, factors, graph, pool, spectrum
+from ..operators import embed, factors, graph, inclusion, pool, spatialgenes, spectrum
 from ..sources import views as V
 from ..sources.views import BOTH, CELLS, CONTACTS, COUNTS, sql
 from .registry import query
@@ -59,3 +59,49 @@ def m52(s, d):
     got = factors.fit(matrix, pool.normalised(V.counts(s, d)), 3, 1.0, 5, log_det=log_det)
     rows = [(x, k, float(m), float(g), k in got.active()) for x, means, gammas in zip(got.features, got.weights.mean, got.weights.gamma, strict=True) for k, (m, g) in enumerate(zip(means, gammas, strict=True))]
     return s.createDataFrame(rows, "feature string, factor int, loading double, inclusion double, active boolean")
+
+
+TILED = """box AS (SELECT section, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM cells GROUP BY 1),
+placed AS (SELECT cell, section, least(floor((x - x0) / greatest(x1 - x0, 1e-12) * 3), 2) * 3 + least(floor((y - y0) / greatest(y1 - y0, 1e-12) * 3), 2) AS tile FROM cells JOIN box USING (section)),
+f AS (SELECT DISTINCT feature FROM counts), v AS (SELECT cell, section, tile, feature, coalesce(count, 0) AS v FROM placed CROSS JOIN f LEFT JOIN counts USING (cell, feature)),
+p AS (SELECT section, tile, feature, count(*) AS n, sum(v) AS s, sum(v * v) AS ss FROM v GROUP BY 1, 2, 3),
+e AS (SELECT l.section, l.tile AS ta, r.tile AS tb, l.feature, count(*) AS w, sum(l.v * r.v) AS xy, sum(l.v + r.v) AS x FROM contacts c JOIN v l ON l.cell = c.a JOIN v r ON r.cell = c.b AND r.feature = l.feature GROUP BY 1, 2, 3, 4),
+k AS (SELECT DISTINCT section AS ks, tile AS kt FROM placed UNION ALL SELECT -1, -1),
+i AS (SELECT ks, kt, section, feature, sum(n) AS n, sum(s) AS s, sum(ss) AS ss FROM k JOIN p ON NOT (section = ks AND tile = kt) GROUP BY 1, 2, 3, 4),
+j AS (SELECT ks, kt, section, feature, sum(w) AS w, sum(xy) AS xy, sum(x) AS x FROM k JOIN e ON NOT (section = ks AND (ta = kt OR tb = kt)) GROUP BY 1, 2, 3, 4),
+m AS (SELECT ks, kt, feature, sum(n) / sum(coalesce(w, 0)) * sum(coalesce(xy, 0) - s / n * coalesce(x, 0) + coalesce(w, 0) * s / n * s / n) / sum(ss - s * s / n) AS moran FROM i LEFT JOIN j USING (ks, kt, section, feature) GROUP BY 1, 2, 3)"""
+
+
+@query("g37_moran_jackknife", sql(CELLS, COUNTS, CONTACTS, TILED, "SELECT feature, round(any_value(moran) FILTER (ks = -1), 7) AS moran, round(sqrt((count(*) - 2) * var_pop(moran) FILTER (ks >= 0)), 7) AS se FROM m GROUP BY 1"))
+def g37_jackknife(s, d):
+    """Moran's I centred within sections, and its error by leaving out tiles of a 3 x 3 grid in each section."""
+    got = inclusion.moran(V.contacts(s, d), V.cells(s, d), V.counts(s, d).withColumnRenamed("count", "value"), 3)
+    return got.select("feature", F.round("moran", 7).alias("moran"), F.round("se", 7).alias("se"))
+
+
+@query("g37_inclusion")
+def g37_inclusion(s, d):
+    """The share of signal in each fine feature's autocorrelation, against the bulk of all features."""
+    got = inclusion.moran(V.contacts(s, d), V.cells(s, d), V.counts(s, d, fine=True).withColumnRenamed("count", "value"), 2)
+    return inclusion.inclusion(got.withColumn("t", F.round("t", 6))).withColumn("inclusion", F.round("inclusion", 6))
+
+
+KERNELS = """z AS (SELECT cell, section, (x - avg(x) OVER o) / coalesce(nullif(stddev_samp(x) OVER o, 0), 1) AS s0, (y - avg(y) OVER o) / coalesce(nullif(stddev_samp(y) OVER o, 0), 1) AS s1 FROM cells WINDOW o AS (PARTITION BY section)),
+c AS (SELECT unnest(range(1, 6)) AS j, unnest(quantile_cont(abs(s0), [0.2, 0.4, 0.6, 0.8, 1.0])) AS c0, unnest(quantile_cont(abs(s1), [0.2, 0.4, 0.6, 0.8, 1.0])) AS c1 FROM z),
+kr AS (SELECT cell, section, 0 AS k, s0 AS a, s1 AS b FROM z UNION ALL SELECT cell, section, j, exp(-s0 * s0 / (2 * c0 * c0)), exp(-s1 * s1 / (2 * c1 * c1)) FROM z, c UNION ALL SELECT cell, section, 5 + j, cos(2 * pi() * s0 / c0), cos(2 * pi() * s1 / c1) FROM z, c),
+h AS (SELECT *, a - avg(a) OVER (PARTITION BY section, k) AS ha, b - avg(b) OVER (PARTITION BY section, k) AS hb FROM kr),
+g AS (SELECT k, sum(b * b) / det AS waa, -sum(a * b) / det AS wab, sum(a * a) / det AS wbb, sum(ha * ha) AS taa, sum(ha * hb) AS tab, sum(hb * hb) AS tbb, det FROM h JOIN (SELECT k, sum(a * a) * sum(b * b) - power(sum(a * b), 2) AS det FROM h GROUP BY 1) USING (k) GROUP BY k, det),
+l AS (SELECT *, (t + sqrt(greatest(t * t - 4 * r, 0))) / 2 AS l1, (t - sqrt(greatest(t * t - 4 * r, 0))) / 2 AS l2 FROM (SELECT *, waa * taa + 2 * wab * tab + wbb * tbb AS t, (taa * tbb - tab * tab) / det AS r FROM g)),
+sp AS (SELECT feature, sum(ss) - sum(s * s / n) AS spread FROM (SELECT feature, section, sum(count) AS s, sum(count * count) AS ss FROM counts JOIN cells USING (cell) GROUP BY 1, 2) JOIN (SELECT section, count(*) AS n FROM cells GROUP BY 1) USING (section) GROUP BY 1),
+st AS (SELECT feature, k, l1, l2, (waa * ua * ua + 2 * wab * ua * ub + wbb * ub * ub) / (spread / (SELECT count(*) FROM cells)) AS stat FROM (SELECT feature, k, sum(count * ha) AS ua, sum(count * hb) AS ub FROM counts JOIN h USING (cell) GROUP BY 1, 2) JOIN l USING (k) JOIN sp USING (feature)),
+pk AS (SELECT feature, k, any_value(stat) AS stat, avg(exp(-stat / (2 * (l1 * power(cos(t), 2) + l2 * power(sin(t), 2))))) AS p FROM st, (SELECT (i + 0.5) * pi() / 2048 AS t FROM range(1024) r(i)) GROUP BY 1, 2),
+pf AS (SELECT feature, any_value(stat) FILTER (k = 0) AS raw, avg(1 / tan(greatest(p, 1e-300) * pi())) AS t FROM pk GROUP BY 1),
+pv AS (SELECT feature, raw, CASE WHEN t > 1 THEN atan(1 / t) / pi() ELSE 0.5 - atan(t) / pi() END AS p FROM pf),
+r AS (SELECT *, row_number() OVER (ORDER BY p) AS rank, count(*) OVER () AS m FROM pv)"""
+
+
+@query("m53_spatial_genes", sql(CELLS, COUNTS, KERNELS, "SELECT feature, round(raw, 5) AS raw, round(p, 7) AS p, round(least(1, min(p * m / rank) OVER (ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) * (SELECT sum(1.0 / i) FROM range(1, (SELECT count(*) FROM pv) + 1) u(i))), 6) AS q FROM r"))
+def m53_full(s, d):
+    """All eleven kernels: the statistic of the raw coordinates, the combined p, and q over the features tested."""
+    got = spatialgenes.test(V.cells(s, d), V.counts(s, d))
+    return got.select("feature", F.round(F.col("stats")[0], 5).alias("raw"), F.round("p", 7).alias("p"), F.round("q", 6).alias("q"))
