@@ -3,7 +3,7 @@
 Words are counted by Spark (partial sums before the shuffle, so a word of any frequency is fine). The
 vocabulary (length and count at least asked for) is ranged by word and packed into trie shards, each bounded
 in words and letters: arrays of edges sorted by parent and letter, the children of a node side by
-side. The shards are broadcast one after another, and the vocabulary, dealt by hash, passes each of them. A task
+side. The shards are broadcast in waves of bounded size, and the vocabulary, dealt by hash, passes all of them. A task
 walks its words' automata through the shard with a stack of blocks of states (word, node, place), deepest first: the states
 without an edit follow the word, and each also goes on by one inserted, deleted or replaced letter; those
 must then follow the word to its end at an accepting node. An inserted letter differs from the next one of the
@@ -28,8 +28,8 @@ from .common import Store, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SHORTEST, FEWEST, TIMES, SLIP = 6, 5, 5, 199
-#: A shard's words and letters at most: some 30 MB are broadcast at once.
-WORDS, LETTERS = 1 << 17, 1 << 21
+#: A shard's words and letters at most, and the bytes of the shards that are broadcast at once (or one shard, of 18 bytes a letter).
+WORDS, LETTERS, SENT = 1 << 17, 1 << 21, 1 << 26
 #: Words that one task walks, and states of one block.
 TASK, BLOCK = 1 << 13, 1 << 12
 
@@ -140,27 +140,26 @@ class Trie:
 
 
 def _packer(most: int):
-    """Trie shards of the sorted words of one partition, most words each at most."""
+    """Trie shards of one partition's words, most words each at most."""
 
     def each(batches):
-        words: list[bytes] = []
-        counts: list[int] = []
+        held: list[tuple[bytes, int]] = []
         letters = 0
 
         def shard():
-            parts = Trie.build(words, np.array(counts, np.int64)).packed()
+            held.sort()
+            parts = Trie.build([w for w, _ in held], np.array([n for _, n in held], np.int64)).packed()
             return pa.record_batch([pa.array([p], pa.binary()) for p in parts], names=[name for name, _ in Trie.ARRAYS])
 
         for b in batches:
             for word, n in zip(b.column("word").to_pylist(), b.column("n").to_pylist(), strict=True):
                 w = word.encode("latin-1")
-                if words and (len(words) >= most or letters + len(w) > LETTERS):
+                if held and (len(held) >= most or letters + len(w) > LETTERS):
                     yield shard()
-                    words, counts, letters = [], [], 0
-                words.append(w)
-                counts.append(n)
+                    held, letters = [], 0
+                held.append((w, n))
                 letters += len(w)
-        if words:
+        if held:
             yield shard()
 
     return each
@@ -181,13 +180,14 @@ def best(who: np.ndarray, node: np.ndarray, trie: Trie, n: int) -> tuple[np.ndar
 
 def _walker(sent):
     def each(batches):
-        trie = None
+        tries: list[Trie] = []
         for b in batches:
-            trie = trie or Trie.unpacked(sent.value)
+            tries = tries or [Trie.unpacked(parts) for parts in sent.value]
             words = [w.encode("latin-1") for w in b.column("word").to_pylist()]
-            has, many, form, most = best(*trie.neighbours(words), trie, len(words))
-            out = pa.record_batch([b.column("word"), pa.array(many), pa.array(form, pa.string()), pa.array(most)], names=["word", "n_near", "near", "near_n"])
-            yield out.filter(pa.array(has))
+            for trie in tries:
+                has, many, form, most = best(*trie.neighbours(words), trie, len(words))
+                out = pa.record_batch([b.column("word"), pa.array(many), pa.array(form, pa.string()), pa.array(most)], names=["word", "n_near", "near", "near_n"])
+                yield out.filter(pa.array(has))
 
     return each
 
@@ -198,19 +198,29 @@ def nearest(store: Store, words: DataFrame, most: int = WORDS) -> DataFrame:
     total = words.count()
     if not total:
         return words.select("word", F.col("n").alias("n_near"), F.col("word").alias("near"), F.col("n").alias("near_n"))
-    kinds = "first binary, letter binary, child binary, ends binary, up binary"
-    ranged = words.repartitionByRange(max(1, -(-total // most)), "word").sortWithinPartitions("word")
-    shards = store.write(ranged.select("word", "n").mapInArrow(_packer(most), kinds).withColumn("shard", F.monotonically_increasing_id()))
+    parts = -(-total // most)
+    names = [name for name, _ in Trie.ARRAYS]
+    ranged = words.repartitionByRange(parts, "word").coalesce(parts)  # a shard holds words that begin alike, so most others leave it at once
+    shards = ranged.select("word", "n").mapInArrow(_packer(most), ", ".join(f"{name} binary" for name in names))
+    shards = store.write(shards.withColumn("shard", F.monotonically_increasing_id()).withColumn("bytes", sum(F.length(name) for name in names)))
     dealt = store.write(words.select("word").repartition(max(1, -(-total // TASK)), "word"))
-    parts = None
-    for (k,) in shards.select("shard").sort("shard").collect():  # one row for each shard of WORDS words
-        (row,) = shards.filter(F.col("shard") == k).drop("shard").toArrow().to_pylist()
-        sent = spark.sparkContext.broadcast([row[name] for name, _ in Trie.ARRAYS])
+    waves: list[list[int]] = []
+    room = 0
+    for k, size in shards.select("shard", "bytes").sort("shard").collect():  # a row for each shard of most words
+        if not waves or room + size > SENT:
+            waves.append([])
+            room = 0
+        waves[-1].append(k)
+        room += size
+    found = None
+    for wave in waves:
+        rows = shards.filter(F.col("shard").isin(wave)).select(*names).toArrow().to_pylist()
+        sent = spark.sparkContext.broadcast([[row[name] for name in names] for row in rows])
         part = store.write(dealt.mapInArrow(_walker(sent), "word string, n_near long, near string, near_n long"))
-        parts = part if parts is None else parts.unionByName(part)
+        found = part if found is None else found.unionByName(part)
         sent.destroy()
     first = F.min(F.struct((-F.col("near_n")).alias("less"), "near"))
-    return parts.groupBy("word").agg(F.sum("n_near").alias("n_near"), first["near"].alias("near"), (-first["less"]).alias("near_n"))
+    return found.groupBy("word").agg(F.sum("n_near").alias("n_near"), first["near"].alias("near"), (-first["less"]).alias("near_n"))
 
 
 def roots(store: Store, forms: DataFrame) -> DataFrame:
