@@ -22,7 +22,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import settled
 
 NEGATIVES = 8
 BETA1, BETA2, EPS = 0.9, 0.999, 1e-8
@@ -151,10 +151,10 @@ def train(units: DataFrame, counts: DataFrame, d: int, epochs: int, rate: float
     positive = counts.filter("count > 0").groupBy(F.col("unit").cast("long").alias("unit"), F.col("feature").cast("string").alias("feature")).agg(F.sum(F.col("count").cast("double")).alias("count"))
     positive = positive.join(units, "unit")
     total = positive.groupBy("feature").agg(F.sum("count").alias("total"))
-    positive = cut(positive.join(total, "feature").select("unit", "batch", "feature", (F.col("count") / F.col("total")).alias("weight")))
+    positive = settled(positive.join(total, "feature").select("unit", "batch", "feature", (F.col("count") / F.col("total")).alias("weight")))
     sizes = units.groupBy("batch").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    now = cut(start(units.join(sizes, "batch"), "unit", d, seed, bias=True))
-    features = cut(start(positive.select("feature").distinct(), "feature", d, seed + 1))
+    now = settled(start(units.join(sizes, "batch"), "unit", d, seed, bias=True))
+    features = settled(start(positive.select("feature").distinct(), "feature", d, seed + 1))
     losses: list[float] = []
     none = F.lit(None)
     for epoch in range(epochs):
@@ -166,8 +166,8 @@ def train(units: DataFrame, counts: DataFrame, d: int, epochs: int, rate: float
         empty = [none.cast("array<double>").alias(c) for c in ("m", "v")]
         rows = rows.unionByName(asked.select(F.lit(1).alias("tag"), "batch", "block", none.cast("long").alias("unit"), "feature", none.cast("double").alias("weight"), "row", *empty, none.cast("int").alias("t")))
         rows = rows.unionByName(draws.select(F.lit(2).alias("tag"), "batch", "block", "unit", "feature", "weight", none.cast("array<double>").alias("row"), *empty, none.cast("int").alias("t")))
-        done = cut(rows.groupBy("batch", "block").applyInArrow(_trainer(epoch, seed, rate, decay, inner), OUT))
+        done = settled(rows.groupBy("batch", "block").applyInArrow(_trainer(epoch, seed, rate, decay, inner), OUT))
         losses.append(done.filter("tag = 0").agg(F.sum("loss")).first()[0] or 0.0)
-        features = cut(_moved(features, done.filter("tag = 1"), d, rate, decay))
+        features = settled(_moved(features, done.filter("tag = 1"), d, rate, decay))
         now = done.filter("tag = 0").select("unit", "batch", "row", "m", "v", "t").join(sizes, "batch")
     return now.select("unit", "batch", "row"), features.select("feature", "row"), losses

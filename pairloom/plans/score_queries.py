@@ -58,10 +58,10 @@ def m28(s, d):
     return C.fates(C.contingency(segments(s, d)), 0.25)
 
 
-@query("j10_partition_join", "SELECT count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS both, count(*) FILTER (b IS NULL) AS only_a, count(*) FILTER (a IS NULL) AS only_b FROM (SELECT doc_id AS a FROM labels) FULL JOIN (SELECT doc_id AS b FROM documents WHERE doc_id % 3 = 0) ON a = b")
+@query("j10_partition_join", "SELECT count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS both, count(*) FILTER (b IS NULL) AS only_a, count(*) FILTER (a IS NULL) AS only_b FROM (SELECT doc_id AS a FROM labels) FULL JOIN (SELECT doc_id AS b FROM documents) ON a = b")
 def j10(s, d):
     a = V.table(s, d, "labels").select(F.col("doc_id").alias("a"))
-    b = V.table(s, d, "documents").filter("doc_id % 3 = 0").select(F.col("doc_id").alias("b"))
+    b = V.table(s, d, "documents").select(F.col("doc_id").alias("b"))
     met = a.join(b, F.col("a") == F.col("b"), "full")
     return met.agg(F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).alias("both"), F.count(F.when(F.col("b").isNull(), 1)).alias("only_a"), F.count(F.when(F.col("a").isNull(), 1)).alias("only_b"))
 
@@ -158,10 +158,10 @@ def s10(s, d):
     return rows.groupBy(F.when(is_none_label(F.col("l")), None).otherwise(F.col("l")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("o7_set_differences", "SELECT count(*) FILTER (side = 'a') AS only_a, count(*) FILTER (side = 'b') AS only_b FROM ((SELECT 'a' AS side, o_custkey AS k FROM orders EXCEPT SELECT 'a', c_custkey FROM customer WHERE c_custkey % 2 = 0) UNION ALL (SELECT 'b', c_custkey FROM customer WHERE c_custkey % 2 = 0 EXCEPT SELECT 'b', o_custkey FROM orders))")
+@query("o7_set_differences", "SELECT count(*) FILTER (side = 'a') AS only_a, count(*) FILTER (side = 'b') AS only_b FROM ((SELECT 'a' AS side, o_custkey AS k FROM orders EXCEPT SELECT 'a', c_custkey FROM customer) UNION ALL (SELECT 'b', c_custkey FROM customer EXCEPT SELECT 'b', o_custkey FROM orders))")
 def o7(s, d):
     a = V.table(s, d, "orders").select(F.col("o_custkey").alias("k")).distinct()
-    b = V.table(s, d, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k")).distinct()
+    b = V.table(s, d, "customer").select(F.col("c_custkey").alias("k")).distinct()
     rows = a.join(b, "k", "left_anti").select(F.lit("a").alias("side")).unionByName(b.join(a, "k", "left_anti").select(F.lit("b").alias("side")))
     return rows.agg(F.count(F.when(F.col("side") == "a", 1)).alias("only_a"), F.count(F.when(F.col("side") == "b", 1)).alias("only_b"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import embed, factors, graph, inclusion, pool, spatialgenes, spectrum
+from ..operators import community, embed, factors, graph, inclusion, pool, spatialgenes, spectrum
 from ..sources import views as V
 from ..sources.views import BOTH, CELLS, CONTACTS, COUNTS, sql
 from .registry import query
@@ -105,3 +105,19 @@ def m53_full(s, d):
     """All eleven kernels: the statistic of the raw coordinates, the combined p, and q over the features tested."""
     got = spatialgenes.test(V.cells(s, d), V.counts(s, d))
     return got.select("feature", F.round(F.col("stats")[0], 5).alias("raw"), F.round("p", 7).alias("p"), F.round("q", 6).alias("q"))
+
+
+@query("m15_consensus_communities")
+def m15_consensus(s, d):
+    """Communities of the contact graph by the agreement of three seeded runs."""
+    edges = V.contacts(s, d).select("a", "b", (1 / (1 + F.col("distance"))).alias("weight"))
+    return community.consensus(edges, V.cells(s, d), resolution=0.5, runs=3, rounds=6, levels=2)
+
+
+#: A labelling by kind; its weighted modularity, and that of the sections, as two runs.
+@query("m15_weighted_modularity", sql(CELLS, CONTACTS, "w AS (SELECT a, b, 1 / (1 + distance) AS w FROM contacts), l AS (SELECT cell, 0 AS run, hash_label FROM (SELECT cell, kind AS hash_label FROM cells) UNION ALL SELECT cell, 1, CAST(section AS VARCHAR) FROM cells), i AS (SELECT p.run, sum(w) FILTER (p.hash_label = q.hash_label) AS inside, sum(w) AS m FROM w JOIN l p ON p.cell = a JOIN l q ON q.cell = b AND q.run = p.run GROUP BY 1), e AS (SELECT run, sum(d * d) AS dd FROM (SELECT run, hash_label, sum(w) AS d FROM (SELECT a AS cell, w FROM w UNION ALL SELECT b, w FROM w) JOIN l USING (cell) GROUP BY 1, 2) GROUP BY 1)", "SELECT run, round(inside / m - dd / (4 * m * m), 8) AS modularity FROM i JOIN e USING (run)"))
+def m15_weighted(s, d):
+    edges = V.contacts(s, d).select("a", "b", (1 / (1 + F.col("distance"))).alias("weight"))
+    cells = V.cells(s, d)
+    labels = cells.select(F.lit(0).alias("run"), "cell", F.col("kind").alias("label")).unionByName(cells.select(F.lit(1).alias("run"), "cell", F.col("section").cast("string").alias("label")))
+    return community.modularity(edges, labels).withColumn("modularity", F.round("modularity", 8))

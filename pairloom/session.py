@@ -22,6 +22,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """cut(), and the planner's guess of the size is forgotten too.
+
+    A checkpoint keeps the estimate of its plan, a product over joins; where a loop's state enters its own next round
+    several times, these estimates get several times as many digits each round, until planning takes longer than running.
+    """
+    done = cut(df)
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(done._jdf.rdd(), done._jdf.schema()), spark)
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package's source to the Python workers, once an application, so that they need no path to it.
 
