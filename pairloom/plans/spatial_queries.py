@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import community, embed, factors, graph, inclusion, pool, spatialgenes, spectrum
+from ..operators import community, embed, factors, graph, inclusion, permute, pool, spatialgenes, spectrum
 from ..sources import views as V
 from ..sources.views import BOTH, CELLS, CONTACTS, COUNTS, sql
 from .registry import query
@@ -121,3 +121,9 @@ def m15_weighted(s, d):
     cells = V.cells(s, d)
     labels = cells.select(F.lit(0).alias("run"), "cell", F.col("kind").alias("label")).unionByName(cells.select(F.lit(1).alias("run"), "cell", F.col("section").cast("string").alias("label")))
     return community.modularity(edges, labels).withColumn("modularity", F.round("modularity", 8))
+
+
+@query("m43_curtailed_moran")
+def m43_curtailed(s, d):
+    """Every feature against at most 2,000 shuffles of cells within sections, settled at 5 %."""
+    return permute.curtailed_moran(V.contacts(s, d), V.cells(s, d), V.counts(s, d), 2000, 5)
