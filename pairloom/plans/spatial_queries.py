@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import community, embed, factors, graph, inclusion, permute, pool, spatialgenes, spectrum
+from ..operators import community, embed, factors, graph, inclusion, layout, permute, pool, spatialgenes, spectrum
 from ..sources import views as V
 from ..sources.views import BOTH, CELLS, CONTACTS, COUNTS, sql
 from .registry import query
@@ -127,3 +127,9 @@ def m15_weighted(s, d):
 def m43_curtailed(s, d):
     """Every feature against at most 2,000 shuffles of cells within sections, settled at 5 %."""
     return permute.curtailed_moran(V.contacts(s, d), V.cells(s, d), V.counts(s, d), 2000, 5)
+
+
+@query("m56_force_layout")
+def m56(s, d):
+    """Cells laid out by their contacts, from scaled coordinates, in four rounds."""
+    return layout.force_directed(V.cells(s, d).select("cell", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), V.contacts(s, d), 4).select("cell", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
