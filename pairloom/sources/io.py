@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import json
+import os
+import time
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -130,6 +134,49 @@ def memberships(spark: SparkSession, path: str) -> DataFrame:
     return flat.select("cell", F.substring("c", 2, 9).cast("int").alias("community"), "share")
 
 
+#: Names that stand for all batches and for pooled ones in results.
+RESERVED = ("all", "pooled")
+
+
+def _refuse_reserved(batches: DataFrame) -> None:
+    either = F.col("left_batch").isin(*RESERVED) | F.col("right_batch").isin(*RESERVED)
+    if not batches.filter(either).isEmpty():
+        raise ValueError(f"a batch has one of the reserved names {RESERVED}")
+
+
+def contacts(spark: SparkSession, path: str, community: bool = True) -> DataFrame:
+    """left_cell, right_cell, community, spatial, left_batch, right_batch, batch of a table of contacts.
+
+    A negative community reads as 0, and so does every one of a table that is read without them. Batches of reserved names are refused. A contact is spatial if
+    its edge_kind is 0 or the table has none. batch is the ends' own one where they share it, else null; null where the table
+    has no left_batch and right_batch. See with_batches() for tables that keep these apart.
+    """
+    t = spark.read.parquet(path)
+    has = set(t.columns)
+    named = [F.col(c).cast("string").alias(c) for c in ("left_cell", "right_cell")]
+    kind = (F.col("edge_kind") == 0) if "edge_kind" in has else F.lit(True)
+    group = F.greatest(F.col("community").cast("long"), F.lit(0)) if community else F.lit(0).cast("long")
+    sides = [F.col(c).cast("string") if {"left_batch", "right_batch"} <= has else F.lit(None).cast("string") for c in ("left_batch", "right_batch")]
+    out = t.select(*named, group.alias("community"), kind.alias("spatial"), sides[0].alias("left_batch"), sides[1].alias("right_batch"))
+    _refuse_reserved(out)
+    return out.withColumn("batch", F.when(F.col("left_batch") == F.col("right_batch"), F.col("left_batch")))
+
+
+def with_batches(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """edges with left_batch, right_batch and batch of the table pairs (left_cell, right_cell, left_batch, right_batch), joined
+    by both cells as ordered there; batch only where both ends share it. Contacts that pairs doesn't list get null, and repeated
+    rows of pairs count once; a pair with two different batches is an error. pairs without batch columns changes nothing."""
+    if not {"left_batch", "right_batch"} <= set(pairs.columns):
+        return edges
+    key = ["left_cell", "right_cell"]
+    told = pairs.select(*[F.col(c).cast("string").alias(c) for c in (*key, "left_batch", "right_batch")]).distinct()
+    _refuse_reserved(told)
+    if not told.groupBy(*key).count().filter("count > 1").isEmpty():
+        raise ValueError("a pair has two batches")
+    out = edges.drop("left_batch", "right_batch", "batch").join(told, key, "left")
+    return out.withColumn("batch", F.when(F.col("left_batch") == F.col("right_batch"), F.col("left_batch")))
+
+
 def regions(spark: SparkSession, path: str) -> dict[str, list[list[tuple[float, float]]]]:
     """Rings by region of a GeoJSON feature collection (one small document, read whole)."""
     text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
@@ -147,6 +194,45 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+@contextmanager
+def locked(spark: SparkSession, path: str, wait: float = 60.0) -> Iterator[None]:
+    """Holds the lock beside path: the file system's own on local disks, which ends with its process; elsewhere a lock file
+    that only one can create. TimeoutError after `wait` seconds."""
+    fs, p = _fs(spark, path)
+    lock = fs.makeQualified(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p.getParent(), f".{p.getName()}.lock"))
+    until = time.monotonic() + wait
+    if fs.getUri().getScheme() == "file":
+        import fcntl
+
+        local = lock.toUri().getPath()
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        with open(local, "a") as f:
+            while True:
+                try:
+                    fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
+                    break
+                except OSError:
+                    if time.monotonic() > until:
+                        raise TimeoutError(f"{local} is held") from None
+                    time.sleep(0.02)
+            yield
+        return
+    while True:
+        try:
+            fs.create(lock, False).close()
+            break
+        except Exception:
+            if not fs.exists(lock):
+                raise
+            if time.monotonic() > until:
+                raise TimeoutError(f"{lock} is held; remove it if no run is at work") from None
+            time.sleep(0.5)
+    try:
+        yield
+    finally:
+        fs.delete(lock, False)
+
+
 @dataclass
 class Manifest:
     """The root of a run: what was written, by name, relative to the manifest, and the settings."""
@@ -156,15 +242,30 @@ class Manifest:
     settings: dict = field(default_factory=dict)
 
     def write(self, spark: SparkSession, path: str) -> None:
-        """Written beside its place and renamed, so a reader never sees half of it."""
+        """Under the lock and whole: a reader sees the old manifest or the new one, and never none."""
+        with locked(spark, path):
+            self._replace(spark, path)
+
+    def _replace(self, spark: SparkSession, path: str) -> None:
         fs, p = _fs(spark, path)
         aside = p.suffix(f".{uuid.uuid4().hex}")
         out = fs.create(aside, True)
         out.write(bytearray(json.dumps(asdict(self), indent=1, sort_keys=True).encode()))
         out.close()
-        if fs.exists(p):
-            fs.delete(p, False)
-        fs.rename(aside, p)
+        jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+        how = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        qualified = fs.makeQualified(p)
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(qualified.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(aside), qualified, how)
+
+    @classmethod
+    def update(cls, spark: SparkSession, path: str, change: Callable[[Manifest], None]) -> Manifest:
+        """Read, change and write the manifest as one step: runs that update one manifest at once lose nothing of each other."""
+        with locked(spark, path):
+            now = cls.open(spark, path)
+            change(now)
+            now._replace(spark, path)
+        return now
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Manifest:

@@ -60,6 +60,44 @@ def test_staging_and_manifest(spark, tmp_path):
     assert not [p for p in (tmp_path / "run").iterdir() if p.name.startswith(".staging") or p.name.endswith(".old")]
 
 
+def test_manifest_updates_lose_nothing(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "manifest.json")
+    io.Manifest("fit", settings={"k": 3}).write(spark, path)
+
+    def add(i):
+        io.Manifest.update(spark, path, lambda m: m.outputs.update({f"t{i}": f"t{i}.parquet"}))
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(add, range(8)))
+    m = io.Manifest.open(spark, path)
+    assert m.outputs == {f"t{i}": f"t{i}.parquet" for i in range(8)} and m.settings == {"k": 3} and m.command == "fit"
+    assert {p.name for p in tmp_path.iterdir() if not p.name.startswith(".")} == {"manifest.json"}
+    with io.locked(spark, path), pytest.raises(TimeoutError), io.locked(spark, path, wait=0.1):
+        pass
+
+
+def test_contacts_and_batches_of_both_ends(spark, tmp_path):
+    full, bare = str(tmp_path / "full.parquet"), str(tmp_path / "bare.parquet")
+    rows = [("a", "b", 2, 0, "s1", "s1"), ("b", "c", -1, 1, "s1", "s2"), ("c", "d", 5, 0, "s2", "s2")]
+    spark.createDataFrame(rows, "left_cell string, right_cell string, community int, edge_kind int, left_batch string, right_batch string").write.parquet(full)
+    got = {r.left_cell: (r.community, r.spatial, r.batch, r.right_batch) for r in io.contacts(spark, full).collect()}
+    assert got == {"a": (2, True, "s1", "s1"), "b": (0, False, None, "s2"), "c": (5, True, "s2", "s2")}
+    assert {r.community for r in io.contacts(spark, full, community=False).collect()} == {0}
+    spark.createDataFrame([r[:3] for r in rows] + [("d", "e", 1)], "left_cell string, right_cell string, community long").write.parquet(bare)
+    edges = io.contacts(spark, bare)
+    assert all(r.spatial and r.batch is None for r in edges.collect())
+    pairs = spark.read.parquet(full)
+    named = {r.left_cell: (r.left_batch, r.batch) for r in io.with_batches(edges, pairs.unionByName(pairs)).collect()}
+    assert named == {"a": ("s1", "s1"), "b": ("s1", None), "c": ("s2", "s2"), "d": (None, None)}
+    assert io.with_batches(edges, pairs.drop("left_batch")).columns == edges.columns
+    with pytest.raises(ValueError):
+        io.with_batches(edges, spark.createDataFrame([("a", "b", "all", "s1")], "left_cell string, right_cell string, left_batch string, right_batch string"))
+    with pytest.raises(ValueError):
+        io.with_batches(edges, pairs.unionByName(pairs.withColumn("left_batch", pairs["right_batch"])))
+
+
 def test_increments(spark, tmp_path):
     src, out = tmp_path / "in", str(tmp_path / "totals")
     for k in range(3):
