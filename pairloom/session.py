@@ -15,10 +15,13 @@ _sent: set[str] = set()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() in the folder the session names; one of this machine only where none is named, as in tests."""
+    """checkpoint() in the folder the session names; where none is named, one of this machine if the master is local, as in tests, and an error on a cluster."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pairloom-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pairloom-"))
     return df.checkpoint()
 
 
