@@ -13,12 +13,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a folder of this machine only where that is unset, as in tests."""
+    """The folder named by spark.checkpoint.dir; where that is unset, a folder of this machine if the master is local, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="pairloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
