@@ -69,6 +69,7 @@ def _quadrature(alpha: list[float], beta: list[float]) -> tuple[np.ndarray, np.n
 def lanczos(matrix: DataFrame, probes: int, steps: int, seed: int = 0) -> DataFrame:
     """section, theta, weight: nodes whose weights sum to the section's cells; probes x steps of them at most.
 
+    Traces of smooth functions agree between reruns but for rounding; single nodes of the last steps need not.
     matrix: see links(). A step is one pass over the links and one sum by section.
     """
     spark = matrix.sparkSession
