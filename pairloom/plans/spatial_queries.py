@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import community, embed, factors, graph, inclusion, layout, permute, pool, spatialgenes, spectrum
+from ..operators import attention, coexpression, community, embed, factors, graph, inclusion, layout, permute, pool, spatialgenes, spectrum
 from ..sources import views as V
 from ..sources.views import BOTH, CELLS, CONTACTS, COUNTS, sql
 from .registry import query
@@ -133,3 +133,20 @@ def m43_curtailed(s, d):
 def m56(s, d):
     """Cells laid out by their contacts, from scaled coordinates, in four rounds."""
     return layout.force_directed(V.cells(s, d).select("cell", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), V.contacts(s, d), 4).select("cell", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query("m50_graph_attention")
+def m50(s, d):
+    """Cells embedded by a graph-attention autoencoder of their log-normalised counts and contacts."""
+    cells = V.cells(s, d).select("cell", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "section")
+    got = attention.fit(cells, V.contacts(s, d), pool.normalised(V.counts(s, d)), 32, 6, 8, rate=0.01)
+    return got.embedding.select("cell", F.posexplode("z").alias("dim", "value")).withColumn("value", F.round("value", 5))
+
+
+@query("m41_bucketed_test")
+def m41_bucketed(s, d):
+    """All pairs in every community of every donor and of all donors, against 200 shuffles within buckets."""
+    edges = V.communities(s, d)
+    shares = pool.membership(edges)
+    cells = coexpression.bins(shares, V.cells(s, d).select("cell", F.col("donor").alias("batch")))
+    return coexpression.permutation_test(V.counts(s, d), shares, cells, V.pairs(s), 200, 3)
