@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.expr import keyed_uniform
 from ..session import cut
 from .numeric import digamma
 
@@ -36,13 +37,17 @@ _psi = np.vectorize(digamma, otypes=[float])
 PAIR = ["stratum", "ligand", "receptor"]
 
 
-def bins(shares: DataFrame, cells: DataFrame, bits: int = 10) -> DataFrame:
-    """cell, batch, bin: bit j says whether the cell's share of the j-th community (by id) is above the mean over cells; cells: cell, batch."""
-    n = cells.count()
-    means = shares.join(cells.select("cell"), "cell", "left_semi").groupBy("community").agg((F.sum("share") / max(n, 1)).alias("mean"))
-    first = means.orderBy("community").limit(bits)  # the feature: so many communities make the code
-    first = first.withColumn("bit", F.row_number().over(W.orderBy("community")) - 1)
-    code = shares.join(F.broadcast(first), "community").filter("share > mean").groupBy("cell").agg(F.sum(F.expr("shiftleft(1, bit)")).alias("bin"))
+def bins(shares: DataFrame, cells: DataFrame, bits: int = 10, seed: int = 0) -> DataFrame:
+    """cell, batch, bin: bit j says whether the cell's shares, projected on the j-th random axis, are above the mean over cells; cells: cell, batch.
+
+    An axis has a number in [-1, 1) for each community, drawn by key. Cells without contacts lie at 0 on every axis."""
+    n = max(cells.count(), 1)
+    axes = F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("bit")
+    put = shares.join(cells.select("cell"), "cell", "left_semi").select("cell", "community", "share", axes)
+    on = put.groupBy("cell", "bit").agg(F.sum(F.col("share") * (2 * keyed_uniform(seed, F.col("community"), F.col("bit")) - 1)).alias("v"))
+    mean = on.groupBy("bit").agg((F.sum("v") / n).alias("mean"))
+    every = cells.select("cell", axes).join(on, ["cell", "bit"], "left").join(F.broadcast(mean), "bit")  # one row a bit
+    code = every.groupBy("cell").agg(F.sum(F.when(F.coalesce("v", F.lit(0.0)) > F.col("mean"), F.expr("shiftleft(1, bit)")).otherwise(0)).alias("bin"))
     return cells.select("cell", F.col("batch").cast("string").alias("batch")).join(code, "cell", "left").select("cell", "batch", F.coalesce("bin", F.lit(0)).cast("int").alias("bin"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import attention, coexpression, community, embed, factors, graph, inclusion, layout, permute, pool, spatialgenes, spectrum
+from ..operators import attention, coexpression, community, domains, embed, factors, graph, inclusion, layout, permute, pool, spatialgenes, spectrum
 from ..sources import views as V
 from ..sources.views import BOTH, CELLS, CONTACTS, COUNTS, sql
 from .registry import query
@@ -150,3 +150,10 @@ def m41_bucketed(s, d):
     shares = pool.membership(edges)
     cells = coexpression.bins(shares, V.cells(s, d).select("cell", F.col("donor").alias("batch")))
     return coexpression.permutation_test(V.counts(s, d), shares, cells, V.pairs(s), 200, 3)
+
+
+@query("m49_variational_domains")
+def m49_variational(s, d):
+    """Cells' domains by six rounds of a Poisson mixture coupled over contacts; p is that of the label."""
+    got = domains.fit(V.cells(s, d).select("cell"), V.contacts(s, d), V.counts(s, d), 6, 0.5, 6)
+    return got.cells.select("cell", "label", F.round("p", 5).alias("p"))

@@ -122,6 +122,17 @@ def test_odd_tables(spark):
 
 
 def test_bins(spark):
-    shares = spark.createDataFrame([(1, 0, 1.0), (2, 0, 0.5), (2, 1, 0.5), (3, 1, 1.0)], "cell long, community long, share double")
+    import hashlib
+
+    rows = [(1, 0, 1.0), (2, 0, 0.5), (2, 1, 0.5), (3, 1, 1.0)]
+    shares = spark.createDataFrame(rows, "cell long, community long, share double")
     cells = spark.createDataFrame([(i, "x") for i in range(1, 5)], "cell long, batch string")
-    assert {r["cell"]: r["bin"] for r in X.bins(shares, cells).collect()} == {1: 1, 2: 3, 3: 2, 4: 0}
+    want = dict.fromkeys(range(1, 5), 0)
+    for bit in range(6):
+        v = dict.fromkeys(range(1, 5), 0.0)
+        for cell, community, share in rows:
+            v[cell] += share * (2 * int(hashlib.md5(f"9:{community}:{bit}".encode()).hexdigest()[:8], 16) / 2**32 - 1)
+        for cell in v:
+            want[cell] |= (v[cell] > sum(v.values()) / 4) << bit
+    assert {r["cell"]: r["bin"] for r in X.bins(shares, cells, 6, 9).collect()} == want and len(set(want.values())) > 2
+    assert X.bins(shares.limit(0), cells).collect()[0]["bin"] == 0
