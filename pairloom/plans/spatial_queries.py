@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import attention, coexpression, community, domains, embed, factors, graph, inclusion, layout, permute, pool, spatialgenes, spectrum
+from ..operators import attention, coexpression, community, domains, embed, factors, graph, inclusion, integrate, layout, permute, pool, spatialgenes, spectrum
 from ..sources import views as V
 from ..sources.views import BOTH, CELLS, CONTACTS, COUNTS, sql
 from .registry import query
@@ -157,3 +157,13 @@ def m49_variational(s, d):
     """Cells' domains by six rounds of a Poisson mixture coupled over contacts; p is that of the label."""
     got = domains.fit(V.cells(s, d).select("cell"), V.contacts(s, d), V.counts(s, d), 6, 0.5, 6)
     return got.cells.select("cell", "label", F.round("p", 5).alias("p"))
+
+
+@query("m48_integrated_cells")
+def m48_integrated(s, d):
+    """The 100 most variable fine features, scaled and clipped, as components that are corrected for the donor; with the soft cluster of each cell."""
+    cells, counts = V.cells(s, d), V.counts(s, d, fine=True)
+    top = pool.highly_variable(pool.normalised(counts).withColumnRenamed("value", "count"), cells.count(), 100).select("feature")
+    pcs = integrate.components(pool.normalised(counts).join(F.broadcast(top), "feature"), cells.select("cell"), 8)  # 100 rows
+    got = integrate.correct(pcs.join(cells.select("cell", F.col("donor").alias("batch")), "cell"), 8, corrections=2, rounds=3, starts=3)
+    return got.cells.select("cell", "batch", "label", F.posexplode("embedding").alias("dim", "value")).withColumn("value", F.round("value", 4))
