@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def ranked_element(df: DataFrame, by: list[str], value: str, at: Column, out: str) -> DataFrame:
     """by, out: the element of rank `at` (from 0, an expression of the group's count n), NaN and null left out."""
@@ -26,19 +28,45 @@ def quantile_by(df: DataFrame, by: list[str], value: str, q: float, out: str) ->
     return ranked_element(df, by, value, F.floor((F.col("n") - 1) * q + 0.5), out)
 
 
+def _slice(p: Column) -> Column:
+    """A number that grows with p: 64 slices of [0, 1], the first of them by powers of two, as small p crowd there."""
+    fine = F.coalesce(F.greatest(F.floor(F.log2(p)) + 5, F.lit(-1100)), F.lit(-1101))  # log2 of 0 or less is null
+    return F.when(p < 1 / 64, fine).otherwise(F.floor(F.least(p, F.lit(1e6)) * 64)).cast("int")
+
+
 def bh(df: DataFrame, by: list[str], p: str, out: str) -> DataFrame:
     """Benjamini-Hochberg q within families; a NaN or null p is no test and gets NaN.
 
-    q = the running minimum, from the largest p down, of p m / rank.
+    q = the running minimum, from the largest p down, of p m / rank. Of equal p the last has the largest rank: all get
+    its value, so the windows run over distinct p. They run within slices of p; what lies before and after a slice
+    comes from a table of slices.
     """
-    ok = F.col(p).isNotNull() & ~F.isnan(p)
-    tested = df.filter(ok)
-    w = W.partitionBy(*by).orderBy(p)
-    scaled = tested.withColumn("_s", F.col(p) * F.count(F.lit(1)).over(W.partitionBy(*by)) / F.row_number().over(w))
-    q = F.least(F.min("_s").over(W.partitionBy(*by).orderBy(p, "_s").rowsBetween(0, W.unboundedFollowing)), F.lit(1.0))
-    # of equal p the last has the largest rank: all get its value
-    same = F.min("_q").over(W.partitionBy(*by, p))
-    return scaled.withColumn("_q", q).withColumn(out, same).drop("_s", "_q").unionByName(df.filter(~ok).withColumn(out, F.lit(float("nan"))))
+    tested = df.filter(F.col(p).isNotNull() & ~F.isnan(p))
+    keys = [f"_b{i}" for i in range(len(by))]
+    distinct = tested.groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", _slice(F.col("_p")))
+    distinct = cut(distinct)
+    family, within = W.partitionBy(*keys), W.partitionBy(*keys, "_k")
+
+    def joined(one: DataFrame, slices: DataFrame) -> DataFrame:
+        slices = slices.select(*[F.col(c).alias(f"_r{c}") for c in [*keys, "_k"]], *[c for c in slices.columns if c not in [*keys, "_k"]])
+        on = F.col("_k") == F.col("_r_k")
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"_r{k}"))
+        return one.join(slices, on).drop(*[f"_r{c}" for c in [*keys, "_k"]])
+
+    sizes = distinct.groupBy(*keys, "_k").agg(F.sum("_n").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(family.orderBy("_k").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*keys, "_k", before.alias("_before"), F.sum("_size").over(family).alias("_m"))
+    rank = F.col("_before") + F.sum("_n").over(within.orderBy("_p").rowsBetween(W.unboundedPreceding, 0))
+    scaled = joined(distinct, sizes).withColumn("_s", F.col("_p") * F.col("_m") / rank)
+    later = F.min("_low").over(family.orderBy(F.desc("_k")).rowsBetween(W.unboundedPreceding, -1))
+    lows = scaled.groupBy(*keys, "_k").agg(F.min("_s").alias("_low")).select(*keys, "_k", later.alias("_later"))
+    least = F.min("_s").over(within.orderBy(F.desc("_p")).rowsBetween(W.unboundedPreceding, 0))
+    q = joined(scaled, lows).select(*keys, "_p", F.least(least, F.col("_later"), F.lit(1.0)).alias("_q"))
+    on = F.col(p) == F.col("_p")
+    for c, k in zip(by, keys, strict=True):
+        on = on & F.col(c).eqNullSafe(F.col(k))
+    return df.join(q, on, "left").withColumn(out, F.coalesce("_q", F.lit(float("nan")))).drop(*keys, "_p", "_q")
 
 
 def simes(df: DataFrame, by: list[str], p: str, out: str) -> DataFrame:
@@ -49,11 +77,23 @@ def simes(df: DataFrame, by: list[str], p: str, out: str) -> DataFrame:
     return df.select(*by).distinct().join(got, by, "left").withColumn(out, F.coalesce(out, F.lit(float("nan"))))
 
 
+#: Up to so many tests the harmonic number is summed; above, its expansion is exact to the last bits.
+SUMMED = 10_000
+
+
 def by_adjust(df: DataFrame, by: list[str], p: str, out: str) -> DataFrame:
-    """Benjamini-Yekutieli: BH times the harmonic number of the family's tests."""
-    n = F.count(F.when(~F.isnan(p), 1)).over(W.partitionBy(*by))
-    harmonic = F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("_n"), F.lit(1)).cast("int")), F.lit(0.0), lambda a, i: a + 1.0 / i)
-    return bh(df.withColumn("_n", n), by, p, out).withColumn(out, F.when(F.isnan(out), F.col(out)).otherwise(F.least(F.col(out) * harmonic, F.lit(1.0)))).drop("_n")
+    """Benjamini-Yekutieli: BH times the harmonic number of the family's tests, which is formed once a family."""
+    n = F.greatest(F.count(F.when(~F.isnan(p), 1)), F.lit(1))
+    summed = F.aggregate(F.sequence(F.lit(1), F.least("_n", F.lit(SUMMED)).cast("int")), F.lit(0.0), lambda a, i: a + 1.0 / i)
+    x = F.col("_n").cast("double")
+    expanded = F.log(x) + 0.5772156649015329 + 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * x * x * x * x)
+    families = df.groupBy(*[F.col(c).alias(f"_f{i}") for i, c in enumerate(by)]).agg(n.alias("_n"))
+    families = families.select(*[f"_f{i}" for i in range(len(by))], F.when(F.col("_n") <= SUMMED, summed).otherwise(expanded).alias("_h"))
+    on = F.lit(True)
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_f{i}"))
+    adjusted = bh(df, by, p, out).join(families, on)
+    return adjusted.withColumn(out, F.when(F.isnan(out), F.col(out)).otherwise(F.least(F.col(out) * F.col("_h"), F.lit(1.0)))).drop("_h", *[f"_f{i}" for i in range(len(by))])
 
 
 def clustered(df: DataFrame, by: list[str], cluster: str, value: str) -> DataFrame:

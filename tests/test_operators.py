@@ -1,6 +1,8 @@
 import math
+import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pairloom.functions import expr as E
 from pairloom.operators import cluster, effect, graph, latent, lra, pool, score, stats
@@ -366,3 +368,23 @@ def test_more_rows_than_the_driver_takes_raise(spark, monkeypatch, name):
     monkeypatch.setattr(pool, "collected", lambda rows, most: all_rows(rows, 1))
     with pytest.raises(ValueError, match="more than 1 rows"):
         catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+
+
+def test_bh_and_by_over_slices_ties_and_large_families(spark):
+    n = 120_000
+    rng = np.random.default_rng(12)
+    p = np.concatenate([rng.random(n // 2), 10.0 ** -rng.uniform(0, 320, n // 4), np.repeat([0.0, 1.0, 0.25, 1 / 64], n // 16)])
+    order = np.argsort(p, kind="stable")
+    s = p[order] * n / np.arange(1, n + 1)
+    want = np.empty(n)
+    want[order] = np.minimum(np.minimum.accumulate(s[::-1])[::-1], 1)
+    for x in (0.0, 1.0, 0.25, 1 / 64):  # equal p share the least value
+        want[p == x] = want[p == x].min()
+    df = spark.createDataFrame(pd.DataFrame({"i": np.arange(n), "p": p})).withColumn("f", F.lit(None).cast("string"))
+    df = df.unionByName(spark.createDataFrame([(-1, float("nan"), "x")], "i long, p double, f string"))
+    for form, times in ((stats.bh, 1.0), (stats.by_adjust, (1 / np.arange(1, n + 1)).sum())):
+        start = time.perf_counter()
+        got = form(df, ["f"], "p", "q").toPandas().set_index("i")["q"]
+        assert time.perf_counter() - start < 60  # a window that reads on to its end takes 7 * 10^9 steps here
+        assert len(got) == n + 1 and np.isnan(got[-1])
+        np.testing.assert_allclose(got.loc[np.arange(n)], np.minimum(want * times, 1), rtol=1e-12)
