@@ -23,6 +23,36 @@ def brute_knn(rows, k):
     return out
 
 
+def test_knn_of_many_copies_meets_each_place_once(spark):
+    rng = np.random.default_rng(3)
+    spots = [(float(x), float(y)) for x, y in rng.integers(0, 40, (300, 2))] + [(1e5, 3.0), (-0.0, 0.0), (0.0, -0.0)]
+    rows = [(i + 1000 * c, x, y, 0) for c in range(8) for i, (x, y) in enumerate(spots)]
+    df = spark.createDataFrame(rows, "cell long, x double, y double, section int")
+    odd = spark.createDataFrame([(-1, None, 1.0, 0), (-2, float("nan"), 1.0, 0), (-3, float("inf"), 1.0, 0)], df.schema)
+    got = [(r.a, r.b, r.rank) for r in graph.knn(df.unionByName(odd), 4, 5).collect()]
+    want = [(c, d, i + 1) for c, x, y, _ in rows for i, (_, d) in enumerate(sorted((math.sqrt((x - u) ** 2 + (y - v) ** 2), d) for d, u, v, _ in rows if d != c)[:4])]
+    assert sorted(got) == sorted(want)
+
+
+def test_tiles_of_knn_hold_places_not_copies(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+    inner = graph._of_tile
+
+    def counted(most):
+        each = inner(most)
+
+        def run(t):
+            seen.add(t.num_rows)
+            return each(t)
+
+        return run
+
+    monkeypatch.setattr(graph, "_of_tile", counted)
+    rows = [(i + 100 * c, float(i % 10), float(i // 10), 0) for c in range(50) for i in range(100)]
+    graph.knn(spark.createDataFrame(rows, "cell long, x double, y double, section int"), 2, 5).count()
+    assert 0 < seen.value <= 2 * 9 * 3 * 100
+
+
 @pytest.mark.parametrize("whole", [4000, 5])
 def test_knn_whole_and_by_tiles(spark, whole):
     df, rows = cells(spark, 120)
