@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _vectors(t: pa.Table) -> np.ndarray:
@@ -50,21 +52,46 @@ def centroids(vectors: DataFrame, label: str) -> DataFrame:
 
 
 def nearest_centroid(vectors: DataFrame, centers: DataFrame) -> DataFrame:
-    """cell, label, cosine: the centroid of largest cosine, ties to the least label.
+    """cell, label, cosine: the centroid of largest cosine, ties to the least label; a vector with nulls, or of another width, has a null cosine.
 
     The centres are one row per community and are compared with every vector: they are collected
-    into one array, so the vectors are scanned once and nothing is shuffled.
+    into one matrix, so the vectors are scanned once and nothing is shuffled.
     """
-    from ..functions.expr import dot, unit_row
+    from ..functions.expr import unit_row
 
     rows = [(r["label"], [float(v) for v in r["c"]]) for r in centers.select("label", unit_row(F.col("centroid")).alias("c")).orderBy("label").limit(10_001).collect()]
     if len(rows) > 10_000:
         raise ValueError("more than 10,000 centroids")
-    x = unit_row(F.transform("embedding", lambda v: v.cast("double")))
-    table = F.array(*[F.struct(F.lit(k).alias("label"), F.array(*[F.lit(v) for v in c]).alias("c")) for k, c in rows])
-    scored = F.transform(table, lambda t: F.struct(dot(F.col("u"), t["c"]).alias("cosine"), (-t["label"]).alias("label")))
-    best = F.array_max(scored)
-    return vectors.select("cell", x.alias("u")).select("cell", best.alias("b")).select("cell", (-F.col("b.label")).alias("label"), F.col("b.cosine").alias("cosine"))
+    labels, table = np.array([k for k, _ in rows], np.int64), np.array([c for _, c in rows], np.float64).reshape(len(rows), -1)
+    wide = "long" if len(rows) and np.abs(labels).max() > 2**31 - 1 else "int"
+    schema = T.StructType([vectors.select("cell").schema[0], *T._parse_datatype_string(f"label {wide}, cosine double").fields])
+    block = max(1, (1 << 20) // max(len(rows), 1))
+
+    def each(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, block):
+                b = whole.slice(at, block)
+                given, n = b.column("e"), table.shape[1]
+                sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(given), -1))
+                full = np.flatnonzero(sizes == n) if len(rows) else np.zeros(0, np.int64)
+                flat = given.take(pa.array(full)).flatten()
+                x = np.asarray(pa.compute.fill_null(flat, 0.0), np.float64).reshape(len(full), n)
+                known = ~np.asarray(flat.is_null()).reshape(len(full), n).any(1)
+                full, x = full[known], x[known]
+                square, cosine = np.zeros(len(x)), np.zeros((len(x), len(rows)))
+                for k in range(n):  # in order, as sums of rows are
+                    square += x[:, k] * x[:, k]
+                length = np.sqrt(square)
+                x = np.where((length > 0)[:, None] | np.isnan(length)[:, None], x / np.where(length == 0, 1, length)[:, None], 0.0)
+                for k in range(n):
+                    cosine += x[:, k, None] * table[None, :, k]
+                best = cosine.argmax(1) if len(rows) else np.zeros(0, np.int64)
+                label, top, ok = np.full(b.num_rows, labels[0] if len(rows) else 0), np.zeros(b.num_rows), np.zeros(b.num_rows, bool)
+                label[full], top[full], ok[full] = labels[best], cosine[np.arange(len(x)), best], True
+                label = pa.array(label, pa.int64() if wide == "long" else pa.int32(), mask=np.full(b.num_rows, not len(rows)))
+                yield pa.record_batch([b.column("cell"), label, pa.array(top, pa.float64(), mask=~ok)], names=["cell", "label", "cosine"])
+
+    return vectors.select("cell", F.transform("embedding", lambda v: v.cast("double")).alias("e")).mapInArrow(each, schema)
 
 
 def retrieve(query: DataFrame, neighbours: DataFrame, values: DataFrame, tau: float) -> DataFrame:

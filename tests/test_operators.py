@@ -418,3 +418,20 @@ def test_bh_and_by_over_slices_ties_and_large_families(spark):
         assert time.perf_counter() - start < 60  # a window that reads on to its end takes 7 * 10^9 steps here
         assert len(got) == n + 1 and np.isnan(got[-1])
         np.testing.assert_allclose(got.loc[np.arange(n)], np.minimum(want * times, 1), rtol=1e-12)
+
+
+def test_nearest_centroid_is_linear_in_the_width(spark):
+    rng = np.random.default_rng(7)
+    x, c = rng.normal(size=(4000, 128)), rng.normal(size=(12, 128))
+    c[5] = c[2]  # a tie: to the least label
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(-1, None), (-2, [1.0, None] * 64), (-3, [0.0] * 128), (-4, [1.0])]
+    vectors = spark.createDataFrame(rows, "cell long, embedding array<double>").cache()
+    centers = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "label int, centroid array<double>")
+    vectors.count()
+    start = time.perf_counter()
+    got = {r.cell: (r.label, r.cosine) for r in latent.nearest_centroid(vectors, centers).collect()}
+    assert time.perf_counter() - start < 20
+    cosine = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (c / np.linalg.norm(c, axis=1, keepdims=True)).T
+    cosine[:, 5] = -2
+    assert all(got[i][0] == cosine[i].argmax() and abs(got[i][1] - cosine[i].max()) < 1e-12 for i in range(4000))
+    assert got[-1] == (0, None) and got[-2] == (0, None) and got[-4] == (0, None) and got[-3] == (0, 0.0)
