@@ -13,6 +13,7 @@ from ..operators import lra as L
 from ..operators import numeric as N
 from ..operators import pool as P
 from ..operators import score as C
+from ..session import cut
 from ..sources import views as V
 from ..sources.views import CELLS, CONTACTS, COUNTS, FINE, sql
 from .count_queries import BASE, TOT
@@ -157,8 +158,9 @@ def m4(s, d):
 
 @query("m5_log_incidence")
 def m5(s, d):
-    shares = P.membership(V.communities(s, d))
-    ends = G.both_ways(V.contacts(s, d))
+    contacts = cut(V.contacts(s, d))
+    shares = cut(P.membership(V.communities(s, d, edges=contacts)))
+    ends = G.both_ways(contacts)
     one = shares.select(F.col("cell").alias("src"), F.col("community").alias("k"), F.col("share").alias("p"))
     two = shares.select(F.col("cell").alias("dst"), F.col("community").alias("l"), F.col("share").alias("q"))
     met = ends.join(one, "src").join(two, "dst").groupBy("k", "l").agg(F.sum(F.col("p") * F.col("q")).alias("s"))
