@@ -53,3 +53,11 @@ def test_no_values(spark):
     _, _, matrix, values = planted(spark, 3)
     got = factors.fit(matrix, values.filter("cell < 0"), 2, 1.0, 3)
     assert got.features == [] and got.bounds == [] and got.means.count() == 9
+
+
+def test_a_round_multiplies_by_the_matrix_once(spark, monkeypatch):
+    _, _, matrix, values = planted(spark, 6)
+    calls, plain = [], spectrum.product
+    monkeypatch.setattr(spectrum, "product", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    got = factors.fit(matrix, values, 2, 0.5, 2, tol=0.0)
+    assert len(calls) == len(got.bounds) == 3

@@ -91,3 +91,12 @@ def test_moments_form_no_dense_matrix(spark, monkeypatch):
     monkeypatch.setattr(S, "exact", None)
     got = S.moments(matrix).first()
     assert got["n"] == 40 and abs(got["first"] - sum(theta)) < 1e-8 and abs(got["second"] - sum(t * t for t in theta)) < 1e-6
+
+
+def test_steps_in_one_group_give_the_nodes_of_steps_by_joins(two):
+    matrix, _ = two
+    names = ["n", "log_det", "inverse", "slope", "total"]
+    one, many = ({r["section"]: r for r in S.traces(S.spectrum(matrix, small=0, probes=4, steps=9, whole=w), 1.0).collect()} for w in (S.WHOLE, 0))
+    assert one.keys() == many.keys() and len(one) > 0
+    for s in one:
+        assert [one[s][c] for c in names] == pytest.approx([many[s][c] for c in names], rel=1e-8)
