@@ -232,6 +232,18 @@ def tile_jackknife(rows: DataFrame, by: list[str], tile: str, num: str, den: str
     return t.groupBy(*by).agg((F.first("n") / F.first("d")).alias("theta"), F.when(g > 1, F.sqrt((g - 1) * F.var_pop("v"))).otherwise(F.lit(float("nan"))).alias("se"))
 
 
+def verdicts(obs: np.ndarray, null: np.ndarray, varies: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """z, p and family-wise p by Westfall-Young minima of each column of null (shuffles x pairs); NaN where there is no spread."""
+    perms, sd = len(null), null.std(0)
+    spread = varies & (sd > 0)
+    p = np.where(spread, ((null > obs).sum(0) + 0.5 * (null == obs).sum(0) + 0.5) / (perms + 1), np.nan)
+    ranks = (null.argsort(0).argsort(0) + 0.5) / perms
+    least = (1 - ranks[:, spread]).min(1, initial=1)
+    fwer = np.where(spread, (1 + (least[:, None] <= p[None, :]).sum(0)) / (perms + 1), np.nan)
+    z = np.where(spread, (obs - null.mean(0)) / np.where(spread, sd, 1), np.nan)
+    return z, p, fwer
+
+
 def permutation_test(strata_values: DataFrame, perms: int, seed: int) -> DataFrame:
     """stratum, pair, stat, z, p_empirical, fwer: covariances over contacts with shared permutations and Westfall-Young minima.
 
@@ -251,13 +263,7 @@ def permutation_test(strata_values: DataFrame, perms: int, seed: int) -> DataFra
                 null = np.empty((perms, len(pairs)))
                 for k in range(perms):
                     null[k] = (l * r[:, rng.permutation(r.shape[1])]).mean(1)
-                sd = null.std(0)
-                spread = sd > 0
-                p = np.where(spread, ((null > obs).sum(0) + 0.5 * (null == obs).sum(0) + 0.5) / (perms + 1), np.nan)
-                ranks = (null.argsort(0).argsort(0) + 0.5) / perms
-                least = (1 - ranks[:, spread]).min(1, initial=1)
-                fwer = np.where(spread, (1 + (least[:, None] <= p[None, :]).sum(0)) / (perms + 1), np.nan)
-                z = np.where(spread, (obs - null.mean(0)) / np.where(spread, sd, 1), np.nan)
+                z, p, fwer = verdicts(obs, null, null.std(0) > 0)
                 yield pa.record_batch([pa.array([stratum] * len(pairs)), pa.array([x["pair"] for x in pairs]), pa.array(obs), pa.array(z), pa.array(p), pa.array(fwer)], names=["stratum", "pair", "stat", "z", "p_empirical", "fwer"])
 
     return strata_values.mapInArrow(each, schema)

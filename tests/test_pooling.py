@@ -24,3 +24,16 @@ def test_sums_by_contact_equal_plain_sums_and_need_no_shuffle_of_exploded_rows(s
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert "hashpartitioning(a" in plan and "feature" not in "".join(x for x in plan.splitlines() if "hashpartitioning" in x)
+
+
+def test_the_most_counted_feature_of_a_contact_needs_no_exploded_rows(spark):
+    from pyspark.sql import functions as F
+
+    edges = spark.createDataFrame([(1, 2, 7), (1, 3, 7), (2, 4, 8), (4, 5, 8), (5, 6, 8)], "a long, b long, section int")
+    rows = [(1, "f", 2.0), (1, "g", 3.0), (2, "f", 1.0), (3, None, 9.0), (4, "g", 1.0), (4, "f", None)]
+    counts = spark.createDataFrame(rows, "cell long, feature string, count double")
+    got = graph.most_counted(edges, counts, "section")
+    assert {(r.a, r.b): r.feature for r in got.collect()} == {(1, 2): "g", (1, 3): None, (2, 4): "g", (4, 5): "g"}
+    want = graph.pool_endpoints(edges, counts, "section").groupBy("a", "b", "section").agg(F.max(F.struct("count", "feature"))["feature"].alias("feature"))
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    assert "explode" not in got._jdf.queryExecution().executedPlan().toString().lower()
