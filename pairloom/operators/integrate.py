@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, settled
-from .pool import collected
+from . import pool
 
 MOST = 4_000_000
 SLICE = 4096
@@ -50,7 +50,7 @@ def vector_sum(rows: DataFrame, each: Callable[[pa.RecordBatch], np.ndarray], si
     def added(key, t):
         return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "v": pa.array([np.sum([v.values.to_numpy() for v in t["v"]], axis=0)], pa.list_(pa.float64()))})
 
-    got = collected(rows.mapInArrow(parts, "slice int, v array<double>").groupBy("slice").applyInArrow(added, "slice int, v array<double>"), 2 * MOST // SLICE + 1)
+    got = pool.collected(rows.mapInArrow(parts, "slice int, v array<double>").groupBy("slice").applyInArrow(added, "slice int, v array<double>"), 2 * MOST // SLICE + 1)
     return np.concatenate([np.array(r["v"]) for r in sorted(got, key=lambda r: r["slice"])]) if got else np.zeros(size)
 
 
@@ -63,7 +63,7 @@ def components(values: DataFrame, cells: DataFrame, k: int, clip: float = 10.0)
     cells = cells.select("cell").distinct()
     n = cells.count()
     values = values.select("cell", F.col("feature").cast("string").alias("feature"), F.col("value").cast("double").alias("value")).filter("value <> 0 AND feature IS NOT NULL").join(cells, "cell")
-    by = collected(values.groupBy("feature").agg(F.sum("value").alias("s"), F.sum(F.col("value") ** 2).alias("ss")), int(MOST**0.5))
+    by = pool.collected(values.groupBy("feature").agg(F.sum("value").alias("s"), F.sum(F.col("value") ** 2).alias("ss")), int(MOST**0.5))
     side = [(r["feature"], r["s"] / n, ((r["ss"] - r["s"] ** 2 / n) / max(n - 1, 1)) ** 0.5) for r in sorted(by, key=lambda r: r["feature"]) if r["ss"] - r["s"] ** 2 / n > 1e-12 * r["ss"]]
     if not side:
         return cells.select("cell", F.array(*[F.lit(0.0)] * k).alias("embedding"))
@@ -168,7 +168,7 @@ def correct(cells: DataFrame, k: int = 0, theta: float = 2.0, corrections: int =
     """
     cells = cells.select("cell", F.col("batch").cast("string").alias("batch"), F.col("embedding").cast("array<double>").alias("z")).filter("batch IS NOT NULL AND z IS NOT NULL AND NOT exists(z, v -> v IS NULL OR isnan(v))")
     cells = cut(cells.withColumn("block", F.pmod(F.xxhash64("cell", F.lit(seed)), F.lit(BLOCKS)).cast("int")))
-    sizes = {r["batch"]: r["n"] for r in collected(cells.groupBy("batch").agg(F.count(F.lit(1)).alias("n")), 100_000)}
+    sizes = {r["batch"]: r["n"] for r in pool.collected(cells.groupBy("batch").agg(F.count(F.lit(1)).alias("n")), 100_000)}
     batches, n = sorted(sizes), sum(sizes.values())
     if len(batches) < 2:
         return Fit(cells.select("cell", "batch", F.col("z").alias("embedding"), F.lit(0).alias("label")), [], 0)

@@ -8,7 +8,7 @@ from ..functions import expr as E
 from ..operators import cluster as K
 from ..operators import effect as X
 from ..operators import graph as G
-from ..operators import latent
+from ..operators import integrate, latent
 from ..operators import lra as L
 from ..operators import numeric as N
 from ..operators import pool as P
@@ -249,20 +249,8 @@ def m44(s, d):
 @query("m48_single_cell_baseline")
 def m48(s, d):
     """Log-normalised, scaled and clipped features, principal components, k-means by cosine."""
-    counts = V.counts(s, d)
-    n, dims = V.table(s, d, "customer").count(), _dims(counts)
-    value = P.normalised(counts)
-    m = P.moments(value.withColumnRenamed("value", "count"), n)
-    full = V.cells(s, d).select("cell").join(F.broadcast(dims.join(m, "feature"))).join(value, ["cell", "feature"], "left")
-    z = F.least((F.coalesce("value", F.lit(0.0)) - F.col("mean")) / F.sqrt("variance"), F.lit(10.0))
-    arrays = full.groupBy("cell").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", z.alias("z")))), lambda x: x["z"]).alias("design"))
-    g = P.collected(X.gram(arrays.withColumn("zero", F.lit(0.0)).withColumn("one", F.lit(1)), "design", "zero", ["one"]).filter("j >= 0"), 1_000_000)
-    a = np.zeros((25, 25))
-    for r in g:
-        a[r["i"], r["j"]] = r["v"]
-    top = np.linalg.eigh(a)[1][:, ::-1][:, :5].T
-    pcs = arrays.select("cell", F.array(*[E.dot(F.col("design"), F.array(*[F.lit(float(x)) for x in row])) for row in top]).alias("embedding"))
-    return K.spherical_kmeans(pcs, 5, 5, 2)
+    values = cut(P.normalised(V.counts(s, d)))
+    return K.spherical_kmeans(cut(integrate.components(values, V.cells(s, d), 5)), 5, 5, 2)
 
 
 @query("m49_domain_segmentation")

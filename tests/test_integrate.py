@@ -65,3 +65,24 @@ def test_odd_tables(spark):
     assert integrate.correct(spark.createDataFrame([], schema)).cells.count() == 0
     two = integrate.correct(spark.createDataFrame([*rows[:2], (6, "b", [0.0, 0.0], 1)], schema), 5, corrections=1, rounds=1, starts=1)
     assert two.cells.count() == 3
+
+
+def test_single_cell_baseline_computes_sparse_components_once(spark, monkeypatch):
+    from pairloom.operators import cluster, effect
+    from pairloom.plans import catalog
+    from pairloom.sources import views
+
+    folder, seen = "/root/testdata/sf0.001", []
+    kmeans = cluster.spherical_kmeans
+    monkeypatch.setattr(effect, "gram", None)  # no row is spread to features x features rows
+    monkeypatch.setattr(cluster, "spherical_kmeans", lambda v, *a: seen.append(v) or kmeans(v, *a))
+    labels = catalog.QUERIES["m48_single_cell_baseline"](spark, folder).collect()
+    assert not seen[0].inputFiles()  # rounds of k-means read components, not tables
+    cells = sorted(r["cell"] for r in views.cells(spark, folder).collect())
+    counts = views.counts(spark, folder).toPandas().pivot(index="cell", columns="feature", values="count").reindex(cells).fillna(0).to_numpy()
+    x = np.log1p(counts / np.maximum(counts.sum(1, keepdims=True), 1) * 1e4)
+    z = np.minimum((x - x.mean(0)) / x.std(0, ddof=1), 10)
+    u, s, _ = np.linalg.svd(z - z.mean(0), full_matrices=False)
+    got = np.array([r["embedding"] for r in seen[0].orderBy("cell").collect()])
+    np.testing.assert_allclose(np.abs(got), np.abs(u[:, :5] * s[:5]), atol=1e-7)
+    assert sorted(r["cell"] for r in labels) == cells
