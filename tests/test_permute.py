@@ -54,3 +54,11 @@ def test_no_contacts(spark):
     _, _, _, e, c, v = world(spark)
     got = permute.curtailed_moran(e.limit(0), c, v, 20).collect()
     assert len(got) == 5 and all(np.isnan(r["moran"]) and r["shuffles"] == 0 for r in got)
+
+
+@pytest.mark.parametrize("top, kind", [(255, "u1"), (330, "u2"), (65535, "u2"), (0.5, "f8")])
+def test_products_are_exact(top, kind):
+    rng = np.random.default_rng(1)
+    v = (rng.integers(0, 2, (500, 32)) * top).astype(kind)
+    a, b = rng.integers(0, 500, (2, 9001)).astype(np.int32)
+    assert permute._products(v, a, b, float(top)).tolist() == (v[a].astype(float) * v[b]).sum(0).tolist()
