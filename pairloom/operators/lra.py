@@ -11,8 +11,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expr import classify_contact, jeffreys_log_odds
+from ..session import cut
 from . import graph
 
+#: Shuffles of a task that are drawn one after another, after those of the tasks before it.
+DRAWN = 512
+
 
 def strata(edges: DataFrame) -> DataFrame:
     """a, b, community of the contacts whose two cells have the same community (the mode of a cell's contacts)."""
@@ -113,35 +117,16 @@ def moran_by_feature(edges: DataFrame, values: DataFrame, n_cells: int) -> DataF
 def permuted_moran(edges: DataFrame, cells: DataFrame, counts: DataFrame, perms: int, seed: int) -> DataFrame:
     """feature, moran, null_mean, null_sd, p: Moran's I of each feature against shuffles of whole cells within sections.
 
-    edges: a, b, section; cells: cell, section; counts: cell, feature, count. All features share a
-    shuffle, so a section's cells and contacts are one Arrow group; its draws depend on (seed, section)
-    alone. p = (1 + shuffles at or above the observed) / (1 + perms); it is NaN for a feature that does not vary.
+    edges: a, b; cells: cell, section; counts: cell, feature, count. All features share a shuffle, drawn one after another from
+    (seed, section) alone; tasks hold a section's contacts, a block of features and a range of shuffles (see permute).
+    p = (1 + shuffles at or above the observed) / (1 + perms); it is NaN for a feature that does not vary.
     """
-    schema = "feature string, perm int, xy double, sd double"
-
-    def each(key, t, e):
-        rng = np.random.default_rng([seed, key[0].as_py()])
-        cell, row = np.unique(t["cell"].to_numpy(), return_inverse=True)
-        seen = t["feature"].is_valid().to_numpy()
-        names, column = np.unique(t["feature"].drop_null().to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
-        x = np.zeros((len(cell), len(names)))
-        x[row[seen], column] = t["count"].drop_null().to_numpy()
-        a, b = (np.searchsorted(cell, e[c].to_numpy()) for c in "ab")
-        degree = np.bincount(np.concatenate([a, b]), minlength=len(cell))
-        xy, sd = np.zeros((2, perms + 1, len(names)))
-        for k in range(perms + 1):  # the first is the observed order
-            v = x[rng.permutation(len(cell))] if k else x
-            xy[k], sd[k] = 2 * np.einsum("ij,ij->j", v[a], v[b]), degree @ v
-        return pa.table({"feature": pa.array(np.tile(names, perms + 1)), "perm": pa.array(np.repeat(np.arange(perms + 1, dtype=np.int32), len(names))), "xy": xy.ravel(), "sd": sd.ravel()})
-
-    n, w = cells.count(), 2 * edges.count()
-    held = cells.select("section", "cell").join(counts.select("cell", "feature", F.col("count").cast("double").alias("count")), "cell", "left")
-    sums = held.groupBy("section").cogroup(edges.select("section", "a", "b").groupBy("section")).applyInArrow(each, schema).groupBy("feature", "perm").agg(F.sum("xy").alias("xy"), F.sum("sd").alias("sd"))
-    side = held.filter("feature IS NOT NULL").groupBy("feature").agg(F.sum("count").alias("s"), F.sum(F.col("count") * F.col("count")).alias("q"))
-    m = F.col("s") / n
-    bottom = F.col("q") - n * m * m
-    value = F.when(bottom > 1e-12, n / w * (F.col("xy") - 2 * m * F.col("sd") + m * m * w) / bottom).otherwise(float("nan")) if w else F.lit(float("nan"))
-    got = sums.join(F.broadcast(side), "feature").select("feature", "perm", value.alias("v"))
+    from . import permute
+
+    placed = permute.placed(edges, cells, counts)
+    sums = permute.shuffled_sums(placed, permute.streamed(seed), 0, perms + 1, DRAWN)
+    value = permute.moran(placed.cells, 2 * placed.links)
+    got = cut(sums.join(F.broadcast(placed.side()), "at").select("feature", "perm", value.alias("v")))
     seen = got.filter("perm = 0").select("feature", F.col("v").alias("moran"))
     null = got.filter("perm > 0").join(F.broadcast(seen), "feature")
     above = F.count(F.when(F.col("v") >= F.col("moran") - 1e-9 * F.abs("moran") - 1e-12, 1))

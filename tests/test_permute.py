@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from pairloom.operators import permute
+from pairloom.operators import lra, permute
 
 
 def world(spark):
@@ -56,6 +56,35 @@ def test_no_contacts(spark):
     assert len(got) == 5 and all(np.isnan(r["moran"]) and r["shuffles"] == 0 for r in got)
 
 
+def test_ranges_of_shuffles_and_blocks_of_features_draw_one_stream(spark, monkeypatch):
+    cells, edges, x, e, c, v = world(spark)
+    want = {r["feature"]: r for r in lra.permuted_moran(e, c, v, 60, 9).collect()}
+    for name, value in (("NUMBERS", 60), ("PIECE", 21), ("ENDS", 6), ("WORK", 1)):
+        monkeypatch.setattr(permute, name, value)
+    monkeypatch.setattr(lra, "DRAWN", 7)
+    p = permute.placed(e, c, v)
+    assert p.tasks == 4 and p.links == 38 and p.pieces.filter("block < 0").count() > 2 and p.pieces.filter("block >= 0").count() > 8
+    sums = permute.shuffled_sums(p, permute.streamed(9), 0, 61, 7)
+    assert sums.count() == 61 * 5
+    got = {r["feature"]: r for r in lra.permuted_moran(e, c, v, 60, 9).collect()}
+    section = np.array([s for _, s in cells])
+    rngs, above = [np.random.default_rng([9, s]) for s in (0, 1)], np.zeros(5)
+    z = x - x.mean(0)
+    inside = np.array([(a - 100, b - 100) for a, b in edges if section[a - 100] == section[b - 100]])
+    seen = (z[inside[:, 0]] * z[inside[:, 1]]).sum(0)
+    for _ in range(60):
+        moved = z.copy()
+        for s in (0, 1):
+            own = np.flatnonzero(section == s)
+            moved[own] = z[own][rngs[s].permutation(len(own))]
+        above += (moved[inside[:, 0]] * moved[inside[:, 1]]).sum(0) >= seen - 1e-9
+    for j in range(4):
+        assert got[f"f{j}"]["p"] == pytest.approx((1 + above[j]) / 61) == pytest.approx(want[f"f{j}"]["p"])
+        for name in ("moran", "null_mean", "null_sd"):
+            assert got[f"f{j}"][name] == pytest.approx(want[f"f{j}"][name], rel=1e-9)
+    assert np.isnan(got["f4"]["p"]) and np.isnan(want["f4"]["p"])
+
+
 @pytest.mark.parametrize("top, kind", [(255, "u1"), (330, "u2"), (65535, "u2"), (0.5, "f8")])
 def test_products_are_exact(top, kind):
     rng = np.random.default_rng(1)
