@@ -100,3 +100,21 @@ def test_steps_in_one_group_give_the_nodes_of_steps_by_joins(two):
     assert one.keys() == many.keys() and len(one) > 0
     for s in one:
         assert [one[s][c] for c in names] == pytest.approx([many[s][c] for c in names], rel=1e-8)
+
+
+def test_systems_solved_in_one_group_are_those_solved_by_joins(spark, two):
+    matrix, _ = two
+    rng = np.random.default_rng(8)
+    rows = [(r[0], float(rng.normal()), 0.0, float(rng.poisson(2))) for r in matrix.filter("src = dst AND src % 9 <> 0").select("src").collect()]
+    right = spark.createDataFrame(rows, "cell long, one double, two double, three double")
+    names = ["one", "two", "three"]
+    sizes = sorted(r["count"] for r in matrix.groupBy("section").count().collect())
+    got = []
+    for whole in (0, sizes[0], S.WHOLE):  # by joins, one section of two by joins, both in one group
+        x, steps = S.solve(matrix, right, names, 1.0, 2.0, tol=1e-7, whole=whole)
+        got.append(({r["cell"]: [r["section"], *[r[c] for c in names]] for r in x.collect()}, steps))
+    assert got[0][0].keys() == got[1][0].keys() == got[2][0].keys()
+    for x, steps in got[1:]:
+        assert steps == got[0][1] and all(x[c] == pytest.approx(got[0][0][c], abs=1e-10) for c in x)
+    with pytest.raises(ValueError, match="did not reach"):
+        S.solve(matrix, right, names, 1.0, 2.0, tol=1e-7, most=2)
